@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from gristmill.llm import rules, sharding
+from gristmill.llm import bpe, compression, lengths, licenses, rules, sharding
 
 QUERIES = {
+    "op4_byte_bpe": bpe.query,
+    "op5_token_lengths": lengths.query,
     "op6_quality_rules": rules.query,
+    "op7_license_scan": licenses.query,
+    "op9_compression_classifier": compression.query,
     "op10_sharding": sharding.query,
 }
 ORACLES = {"op6_quality_rules": rules.ORACLE}
