@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gristmill.llm import bpe, compression, lengths, licenses, rules, sharding
+from gristmill.llm import bpe, brown, compression, decontamination, lengths, licenses, rules, sharding
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op4_byte_bpe": bpe.query,
     "op5_token_lengths": lengths.query,
     "op6_quality_rules": rules.query,
     "op7_license_scan": licenses.query,
+    "op8_class_language_model": brown.query,
     "op9_compression_classifier": compression.query,
     "op10_sharding": sharding.query,
 }
