@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gristmill.llm import bpe, brown, compression, decontamination, lengths, licenses, rules, sharding
+from gristmill.llm import bpe, brown, compression, decontamination, jaccard, lengths, licenses, pii, rules, sharding
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_pii": pii.query,
+    "op3_jaccard_join": jaccard.query,
     "op4_byte_bpe": bpe.query,
     "op5_token_lengths": lengths.query,
     "op6_quality_rules": rules.query,
