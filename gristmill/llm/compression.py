@@ -5,17 +5,18 @@ of it, and each block is compressed with either; the difference of the summed si
 difference.  A logistic calibration, fitted on labelled texts that the dictionaries haven't seen, turns it, with the
 ratio to the raw size and the length, into the chance of label 1.
 
-The fit takes at most SAMPLE texts of each label and at most SAMPLE_BYTES bytes each (longer ones aren't sampled), the
-first by the crc32 of the id: a bound of 2 x SAMPLE x SAMPLE_BYTES bytes on the driver whatever the corpus.
+The fit takes SAMPLE labelled ids of each label, the first by the crc32 of the id, and of these the texts of at most
+SAMPLE_BYTES bytes: a bound of 2 x SAMPLE x SAMPLE_BYTES bytes on the driver whatever the corpus. The ids are chosen from the
+labels alone and sent to the texts, which aren't shuffled.
 
 Edge cases: an empty or null text scores as its features (0, 0, 0) calibrate; with fewer than 20 sampled texts of
-either label every text scores the share of label 1 (0.5 without any labels); null labels are left out; a text labelled
-twice counts twice; repeated rows get a row each; empty tables give an empty result; further columns are left out.
+either label every text scores the share of label 1 (0.5 without any labels); null labels are left out; a label given twice counts once; repeated rows get a row each; empty tables give an empty result; further columns are left out.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import as_bytes, read, remainder, schema_of
 
 BLOCK, LEVEL, DICTIONARY = 512, 3, 65_536
-SAMPLE, SAMPLE_BYTES = 3_000, 6_000
+SAMPLE, SAMPLE_BYTES = 4_000, 6_000
 FOLDS, THRESHOLD = 5, 0.3
 
 
@@ -70,10 +71,10 @@ def _newton(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1e-2)
     return w
 
 
-def fit(labelled: DataFrame) -> Model:
-    """`labelled`: (doc_id, text bytes, quality).  Dictionaries from three fifths of the sample, calibration from the rest."""
-    fits = labelled.where(F.col("quality").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("by", F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")))
-    good, bad = ([bytes(r.text) for r in fits.where(F.col("quality") == label).orderBy("by", "doc_id", "text").limit(SAMPLE).select("text").collect()] for label in (1, 0))
+def fit(sampled: DataFrame) -> Model:
+    """`sampled`: (doc_id, text bytes, quality), bounded. Dictionaries from three fifths of it, calibration from the rest."""
+    rows = sorted(((r.doc_id, bytes(r.text), r.quality) for r in sampled.collect()), key=lambda r: (zlib.crc32(b"fit%d" % r[0]), r))
+    good, bad = ([text for _, text, quality in rows if quality == label] for label in (1, 0))
     if min(len(good), len(bad)) < 20:
         share = len(good) / (len(good) + len(bad)) if good or bad else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -108,14 +109,16 @@ def scorer(model: Model):
     return score
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts of the learning folds: the ids whose crc32 isn't divisible by FOLDS."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((remainder(FOLDS) != 0) & F.col("quality").isNotNull())
-    return as_bytes(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(marks, "doc_id")
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled texts of the learning folds, the ids whose crc32 isn't divisible by FOLDS: SAMPLE of each label at most."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & (remainder(FOLDS) != 0)).distinct()
+    by = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
+    good, bad = (marks.where(F.col("quality") == label).orderBy(by, "doc_id").limit(SAMPLE) for label in (1, 0))
+    return as_bytes(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(good.unionByName(bad)), "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    model = fit(labelled(docs, labels))
+    model = fit(sample(docs, labels))
 
     def run(batches):
         score = scorer(model)
@@ -128,7 +131,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, that aren't rejected."""
-    model = fit(labelled(docs, labels))
+    model = fit(sample(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches):
