@@ -93,8 +93,8 @@ def associations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson and average-rank Spearman; null where a side is constant."""
     r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = r.withColumns({"rx": average_rank(x, by), "ry": average_rank(y, by)})
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(~flat, F.corr(x, y)).alias("pearson"), F.when(~flat, F.corr("rx", "ry")).alias("spearman"))
+    corr = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))  # noqa: E731  null where a side is constant
+    return r.groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("rx", "ry").alias("spearman"))
 
 
 def contrasts(rows: DataFrame, system: str, order: list[str], metrics: list[str]) -> DataFrame:
