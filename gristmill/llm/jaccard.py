@@ -4,15 +4,17 @@ A document's set is its distinct k-word shingles, hashed to 64 bits.  Two sets l
 `percent` x union.  The answer is the connected components of the links, by these steps:
 
 1. Equal sets are one class, named by its smallest id; only classes are joined.
-2. Index: sets that link share a shingle among the first n - ceil(percent n / 100) + 1 of each, in any one order of the
+2. Each class has a sketch: the parity of its shingles in each of SKETCH cells. Sketches of two sets differ in no more cells
+   than the sets in shingles, which bounds the overlap; pairs below what is asked for are dropped before any text is read.
+   Index: sets that link share a shingle among the first n - ceil(percent n / 100) + 1 of each, in any one order of the
    shingles; here frequent ones come last, then by hash.  Each class lists its prefix in the index with its size and the
    shingle's position.  Lists are skipped by block: a pair is passed over where sizes are too far apart, or where what
    follows the positions of the shared shingle is too short for the overlap asked for.
 3. Each list proposes its smallest set as leader to all others; the pairs are verified on the texts.  Linked sets are
    then in one component, and each keeps its smallest verified leader as pivot with the overlap.
-4. What is left are lists that hold sets of different components.  Their sets are blocks by pivot.  Pivots of two blocks
-   are verified first; from that computed answer, an overlap of x and y is at most
-   |p & q| + |x - p| + |y - q|, so that pairs below what is asked for are skipped, and only the others are verified.
+4. What is left are lists that hold sets of different components.  Their sets are blocks by pivot.  An overlap of x and y
+   is at most |p & q| + |x - p| + |y - q| for pivots p and q: with the bound of the sketches whole blocks are skipped; then the
+   pivots are verified and, from that computed answer, the pairs of members below what is asked for are skipped too.
    Pairs inside a component are never formed: no link between components is lost, and no group gives all its pairs.
 5. Components of all verified links.
 
@@ -35,45 +37,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import as_bytes, materialise, read, schema_of
-from gristmill.llm.decontamination import Words, shingles
+from gristmill.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 3, 90
-CHUNK, HOT, HOT_MOST, SALTS = 2_000_000, 32, 1 << 20, 64
+CHUNK, HOT, HOT_MOST, SALTS = 2_000_000, 4, 1 << 20, 64
+SKETCH = 1024
 MEMBERS = 500
 BROADCAST_ROWS = 2_000_000
 
 
-def set_of(text: bytes, k: int, cache: Words) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    return np.unique(shingles(text.lower().split(), k, cache))
-
-
 def _digest(s: np.ndarray) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(s.tobytes())
     return h >> 64, h & (1 << 64) - 1
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+
+
 def _signed(values, count: int = -1) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, digest a and b) and of shingles met twice or more in a chunk (kind 1: n times a)."""
+    """Rows of documents (kind 0: doc_id, n, digest a and b, sketch) and of shingles met twice or more in a chunk (kind 1: n times a)."""
+    names = ["kind", "doc_id", "n", "a", "b", "sketch"]
 
     def run(batches):
-        cache, held, size, seen = Words(), [], 0, set()
+        held, size, seen = [], 0, set()
 
         def repeated():
             values, n = np.unique(np.concatenate(held), return_counts=True)
             values, n = values[n > 1], n[n > 1]
             nothing = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), nothing, pa.array(n.astype(np.int64)), _signed(values), nothing], names=["kind", "doc_id", "n", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), nothing, pa.array(n.astype(np.int64)), _signed(values), nothing, pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = set_of(text, k, cache)
+            n, a, b, sketches = [], [], [], []
+            for s in shingle_sets(batch.column(1).to_pylist(), k):
                 x, y = _digest(s)
+                sketches.append(_sketch(s))
                 n.append(len(s))
                 a.append(x)
                 b.append(y)
@@ -84,11 +87,12 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                 if size >= CHUNK:
                     yield repeated()
                     held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n, pa.int64()), _signed(a), _signed(b)], names=["kind", "doc_id", "n", "a", "b"])
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate([np.empty(0, np.int64), *sketches])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n, pa.int64()), _signed(a), _signed(b), cells], names=names)
         if held:
             yield repeated()
 
-    return as_bytes(docs).mapInArrow(run, schema_of("kind tinyint, doc_id long, n long, a long, b long"))
+    return as_bytes(docs).mapInArrow(run, schema_of("kind tinyint, doc_id long, n long, a long, b long, sketch array<long>"))
 
 
 def _frequent(survey: DataFrame) -> np.ndarray:
@@ -110,11 +114,10 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hot, cache, seen = sent.value, Words(), set()
+        hot, seen = sent.value, set()
         for batch in batches:
             tokens, sids, places = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = set_of(text, k, cache)
+            for s in shingle_sets(batch.column(1).to_pylist(), k):
                 if not len(s):
                     continue
                 sid = _digest(s)[0]
@@ -172,6 +175,17 @@ def _shared(postings: DataFrame) -> DataFrame:
     return kept.select("token", "sid", F.shiftright("place", 24).bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"))
 
 
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, beyond: str = "0", sizes: str = "x_n + y_n") -> DataFrame:
+    """Of pairs (x, y) those whose sketches leave room for the overlap asked for.
+
+    For blocks: x and y are pivots, `beyond` is the most that a pair of their members can have in common beside what the pivots
+    have, `sizes` the smallest sum of sizes of such a pair.
+    """
+    x, y = (sketches.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "xy")
+    apart = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(SKETCH // 64))
+    return pairs.join(x, "x").join(y, "y").where(f"(x_n + y_n - ({apart}) + 2 * ({beyond})) * {100 + percent} >= {2 * percent} * ({sizes})").select("x", "y")
+
+
 def _possible(percent: int) -> str:
     """Whether sets of x_n and y_n that share a first shingle at x_pos and y_pos can link."""
     return f"100 * x_n >= {percent} * y_n and 100 * y_n >= {percent} * x_n and (1 + least(x_n - x_pos, y_n - y_pos) - 1) * {100 + percent} >= {percent} * (x_n + y_n)"
@@ -192,15 +206,13 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     texts = as_bytes(docs).join(asked, "doc_id").select("x", "run", "role", "doc_id", "text")
 
     def run(batches):
-        cache, head, own = Words(), None, None
+        own = None
         for b in batches:
             out = []
-            for x, part, role, y, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for x, role, y, s in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), shingle_sets(b.column(4).to_pylist(), k)):
                 if role == 0:
-                    if head != (x, part):  # repeated rows of x come again
-                        head, own = (x, part), set_of(text, k, cache)
+                    own = s
                     continue
-                s = set_of(text, k, cache)
                 out.append((x, y, len(own), len(s), len(np.intersect1d(own, s, assume_unique=True))))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["x", "y", "x_n", "y_n", "overlap"])
@@ -232,12 +244,13 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sets = survey.where("kind = 0").select("doc_id", "n", "a", "b")
     classes = materialise(sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     names = classes.where("rep is not null").select(F.col("a").alias("sid"), F.col("rep").alias("id"))
+    sketches = survey.where("kind = 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(names.select("id"), "id").dropDuplicates(["id"])
     lists = materialise(_shared(_postings(docs, k, percent, _frequent(survey))).join(names, "sid").select("token", "id", "n", "pos"), "lists")
 
     leaders = lists.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("y"))
     proposed = lists.join(leaders, "token").where("id <> y.id").select(F.col("id"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("y.id").alias("lead"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"))
     pairs = proposed.where(_possible(percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
-    first = materialise(verify(docs, pairs, k), "verified")
+    first = materialise(verify(docs, _alike(pairs, sketches, percent), k), "verified")
     links = first.where(_links(percent)).select("x", "y")
     within = components(links)
 
@@ -247,28 +260,32 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     left = materialise(placed.join(mixed, "token"), "left")
     if not left.isEmpty():
-        more = _across(docs, left, first, k, percent)
+        more = _across(docs, left, first, sketches, k, percent)
         links = links.unionByName(more)
         within = components(links)
     out = sets.join(classes, ["a", "b"], "left").join(within.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def _across(docs: DataFrame, left: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(docs: DataFrame, left: DataFrame, first: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (x, y) between different components, from the lists that hold more than one."""
-    blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = (blocks.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "label", "least", "most")]) for side in "ab")
-    near = a.join(b, "token").where(f"a_label < b_label and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least")
-    near = materialise(near.select("token", F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y")), "blocks")
+    blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("beyond").alias("beyond"))
+    a, b = (blocks.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "label", "least", "most", "pos", "beyond")]) for side in "ab")
+    near = a.join(b, "token").where(
+        f"a_label < b_label and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least"
+        f" and least(a_most - a_pos, b_most - b_pos) * {100 + percent} >= {percent} * (a_least + b_least)"
+    )
+    near = materialise(near.select("token", F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes")), "blocks")
+    asked = near.groupBy("x", "y").agg(F.max("beyond").alias("beyond"), F.min("sizes").alias("sizes"))
+    asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes"), "asked-blocks")
     known = first.select("x", "y", "x_n", "y_n", "overlap").unionByName(first.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("y_n").alias("x_n"), F.col("x_n").alias("y_n"), "overlap"))
-    asked = near.select("x", "y").distinct()
-    new = materialise(verify(docs, asked.join(known, ["x", "y"], "left_anti"), k), "pivots")
-    answers = asked.join(known, ["x", "y"]).select("x", "y", "x_n", "y_n", "overlap").unionByName(new)
-    answers = materialise(answers, "answers")
+    new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k)
+    answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "x_n", "y_n", "overlap").unionByName(new), "answers")
     x, y = (left.select("token", F.col("pivot").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "beyond")]) for side in "xy")
-    pairs = near.join(answers.select("x", "y", "overlap"), ["x", "y"]).join(x, ["token", "x"]).where(f"(overlap + x_beyond) * {100 + percent} >= {percent} * x_n").join(y, ["token", "y"]).where(_possible(percent)).where("x_id <> x or y_id <> y")
-    pairs = pairs.where(f"(overlap + x_beyond + y_beyond) * {100 + percent} >= {percent} * (x_n + y_n)").select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
-    found = verify(docs, pairs.join(known, ["x", "y"], "left_anti"), k)
+    pairs = near.select("token", "x", "y").join(answers.select("x", "y", "overlap"), ["x", "y"]).join(x, ["token", "x"]).where(f"(overlap + x_beyond) * {100 + percent} >= {percent} * x_n").join(y, ["token", "y"])
+    pairs = pairs.where(_possible(percent)).where("x_id <> x or y_id <> y").where(f"(overlap + x_beyond + y_beyond) * {100 + percent} >= {percent} * (x_n + y_n)")
+    pairs = pairs.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct().join(known, ["x", "y"], "left_anti")
+    found = verify(docs, _alike(pairs, sketches, percent), k)
     return answers.where(_links(percent)).select("x", "y").unionByName(found.where(_links(percent)).select("x", "y"))
 
 
