@@ -1 +1,16 @@
 """Retrieval-experiment analytics on Spark: DataFrame and Column functions planned by Catalyst."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+
+def importable(spark) -> None:
+    """Let Python workers that this session starts import this package from where the driver has it.
+
+    On a cluster where the package is installed, or sent with --py-files, this changes nothing.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))

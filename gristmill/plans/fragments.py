@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
+
 from gristmill.functions.text import PUNCTUATION
 from gristmill.operators import chunking
 from gristmill.plans.registry import table
@@ -64,5 +69,22 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null")
 
 
+_shared: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A part that several queries of a session start from: planned once and kept in memory and on disk once it is computed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _shared:
+        _shared[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _shared[key]
+
+
+def release() -> None:
+    """Forget the shared parts."""
+    while _shared:
+        _shared.popitem()[1].unpersist()
+
+
 def fixed_128(spark, sf_dir):
-    return chunking.fixed_chunks(documents(spark, sf_dir), 128, 19, "fixed_128")
+    return shared(spark, sf_dir, "fixed_128", lambda: chunking.fixed_chunks(documents(spark, sf_dir), 128, 19, "fixed_128"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import grading, retrieval
 from gristmill.functions.text import normalize_text
-from gristmill.plans.fragments import F128, QUERIES, RELEVANT, bm25_cte, documents, fixed_128, lexical, norm, queries
+from gristmill.plans.fragments import F128, QUERIES, RELEVANT, bm25_cte, documents, fixed_128, lexical, norm, queries, shared
 from gristmill.plans.registry import register, table
 
 POOL, TOP = 20, 4
@@ -25,7 +25,7 @@ def dense_lists(spark, sf_dir):
 
 
 def bm25_lists(spark, sf_dir):
-    return retrieval.bm25(queries(spark, sf_dir), fixed_128(spark, sf_dir), POOL)
+    return shared(spark, sf_dir, "bm25", lambda: retrieval.bm25(queries(spark, sf_dir), fixed_128(spark, sf_dir), POOL))
 
 
 def relevant(spark, sf_dir):
@@ -35,6 +35,10 @@ def relevant(spark, sf_dir):
 
 
 def graded(spark, sf_dir):
+    return shared(spark, sf_dir, "graded", lambda: _graded(spark, sf_dir))
+
+
+def _graded(spark, sf_dir):
     """(query_id, chunk_id, doc_id, rank, score, text, grade, n_relevant): the lexical pool with its grades."""
     pool = bm25_lists(spark, sf_dir).join(fixed_128(spark, sf_dir).select("chunk_id", "doc_id", "text"), "chunk_id")
     q = queries(spark, sf_dir).select("query_id", normalize_text("text").alias("span"))
