@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import as_bytes, read, schema_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED = 400_000
+CACHED = 300_000
+LONGEST = 100
 CHUNK = 4 << 20
 #: White space as the Unicode property has it.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,19 +74,20 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_field(1, 2, p) for p in pieces) + _field(2, 2, trainer) + _field(3, 2, normaliser)
 
 
-class _Segments(dict):
-    """Segment of text -> its ids; emptied when it is full."""
+class _Held(dict):
+    """Segment -> its ids.  A segment that isn't held gets an empty list, which is filled when all texts of a run are cut;
+    the first CACHED segments, which have the frequent ones among them, are held for later runs."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.encode = encode
+        self.open: dict[str, list[int]] = {}
 
     def __missing__(self, key: str) -> list[int]:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self.encode(key)
-        if len(key) < 100:
-            self[key] = ids
+        ids = self.open.get(key)
+        if ids is None:
+            ids = self.open[key] = []
+            if len(self) < CACHED and len(key) < LONGEST:
+                self[key] = ids
         return ids
 
 
@@ -96,31 +98,51 @@ class Codec:
         self.bytes = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.matches = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.odd = re.compile(r" (?:\s|\Z)").search
-        self.after_space = _Segments(lambda w: self._encode(" " + w))
-        self.first = _Segments(self._encode)
-
-    def _encode(self, segment: str) -> list[int]:
-        out: list[int] = []
-        for match in (segment,) if segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.matches(segment):
-            raw = match.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                out += self.model.encode(piece_of(raw))
-            else:
-                out.append(rank)
+        self.held = {"": _Held(), " ": _Held()}
+
+    def _cut(self, segment: str):
+        """The matches of the pattern; letters alone, with a space before them or not, are one."""
+        return (segment,) if segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.matches(segment)
+
+    def _merge(self, matches) -> dict[str, list[int]]:
+        """The ids of each match: its own where it is a token, the others merged in one call of the library."""
+        raw = {m: m.encode() for m in matches}
+        known = {m: [rank] for m, b in raw.items() if (rank := self.ranks.get(b)) is not None}
+        rest = [m for m in raw if m not in known]
+        known.update(zip(rest, self.model.encode([piece_of(raw[m]) for m in rest], num_threads=1) if rest else []))
+        return known
+
+    def _fill(self) -> None:
+        """The ids of all open segments."""
+        for before, held in self.held.items():
+            cut = [self._cut(before + w) if before or w else () for w in held.open]
+            known = self._merge(m for matches in cut for m in matches)
+            for ids, matches in zip(held.open.values(), cut):
+                for m in matches:
+                    ids += known[m]
+            held.open = {}
+
+    def segments(self, texts: list[str | None]) -> list[list[list[int]]]:
+        """For each text the ids of its segments in order."""
+        first, after = self.held[""], self.held[" "]
+        out = []
+        try:
+            for t in texts:
+                if not t:
+                    out.append([])
+                elif self.odd(t):
+                    out.append(list(map(first.__getitem__, self.matches(t))))
+                else:
+                    head, *rest = t.split(" ")
+                    out.append([first[head], *map(after.__getitem__, rest)])
+            self._fill()
+        except BaseException:
+            self.held = {"": _Held(), " ": _Held()}
+            raise
         return out
 
-    def segments(self, text: str) -> list[list[int]]:
-        """The ids of each segment of `text` in order."""
-        if not text:
-            return []
-        if self.odd(text):
-            return [self._encode(text)] if len(text) < 2000 else list(map(self.first.__getitem__, self.matches(text)))
-        head, *rest = text.split(" ")
-        return [self.first[head], *map(self.after_space.__getitem__, rest)]
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.segments(text)))
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [list(chain.from_iterable(s)) for s in self.segments(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -153,7 +175,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in chunks(texts):
-                ids = [own.encode(t or "") for t in texts[i:j]]
+                ids = own.encode(texts[i:j])
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 values = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 arrays = [b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
@@ -190,7 +212,9 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
     def run(batches):
         own = codec(path, pattern)
         for b in batches:
-            counts = [sum(map(len, own.segments(t or ""))) for t in b.column(1).to_pylist()]
+            texts, counts = b.column(1).to_pylist(), []
+            for i, j in chunks(texts):
+                counts += [sum(map(len, s)) for s in own.segments(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
