@@ -61,12 +61,13 @@ def ranking_metrics(spark, sf_dir):
     return metrics(spark, sf_dir).select("instance", "query_id", "domain", "ndcg", "f1", "visibility")
 
 
-@register("group_means", f"WITH {METRICS} SELECT system, domain, seed, count(*)::BIGINT AS n, round(avg(ndcg), 6) AS ndcg, round(avg(f1), 6) AS f1, round(avg(visibility), 6) AS visibility FROM metrics GROUP BY GROUPING SETS ((system), (domain, system), (seed, system))")
+@register("group_means", f"WITH {METRICS} SELECT system, coalesce(m.domain, 'all') AS domain, coalesce(m.seed::VARCHAR, 'none') AS seed, count(*)::BIGINT AS n, round(avg(ndcg), 6) AS ndcg, round(avg(f1), 6) AS f1, round(avg(visibility), 6) AS visibility FROM metrics m GROUP BY GROUPING SETS ((system), (m.domain, system), (m.seed, system))")
 def group_means(spark, sf_dir):
     """Row-weighted means of all groupings in one expansion."""
     m = metrics(spark, sf_dir)
     s, d, e = F.col("system"), F.col("domain"), F.col("seed")
-    return m.groupingSets([[s], [d, s], [e, s]], s, d, e).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "f1", "visibility")])
+    g = m.groupingSets([[s], [d, s], [e, s]], s, d, e).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "f1", "visibility")])
+    return g.select("system", F.coalesce("domain", F.lit("all")).alias("domain"), F.coalesce(F.col("seed").cast("string"), F.lit("none")).alias("seed"), "n", "ndcg", "f1", "visibility")
 
 
 @register(

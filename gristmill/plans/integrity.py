@@ -54,11 +54,11 @@ def allowed_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@register("lookup_attach", """SELECT d.doc_id, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN NULL ELSE md5(d.doc_id || ':' || l.quality) END AS label_md5 FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@register("lookup_attach", """SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality, coalesce(l.toxic, -1)::INT AS toxic, CASE WHEN l.doc_id IS NULL THEN NULL ELSE md5(d.doc_id || ':' || l.quality) END AS label_md5 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def lookup_attach(spark, sf_dir):
     """J1, J11."""
     d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
-    return d.select("doc_id", "quality", "toxic", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("quality").cast("string"))).alias("label_md5"))
+    return d.select("doc_id", *[F.coalesce(c, F.lit(-1)).cast("int").alias(c) for c in ("quality", "toxic")], F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("quality").cast("string"))).alias("label_md5"))
 
 
 @register("copy_consistency", """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS n FROM customer LEFT JOIN a ON c_custkey = k)

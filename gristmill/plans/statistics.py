@@ -96,13 +96,14 @@ def seed_leave_one_out(spark, sf_dir):
 
 @register(
     "system_means",
-    f"""WITH {EXP} SELECT system, chunker, seed, count(*)::BIGINT AS n, round(avg(v), 9) AS mean FROM e GROUP BY GROUPING SETS ((system), (system, chunker), (system, seed), (system, chunker, seed))""",
+    f"""WITH {EXP} SELECT system, coalesce(e.chunker, 'all') AS chunker, coalesce(e.seed::VARCHAR, 'all') AS seed, count(*)::BIGINT AS n, round(avg(v), 9) AS mean FROM e GROUP BY GROUPING SETS ((system), (system, e.chunker), (system, e.seed), (system, e.chunker, e.seed))""",
 )
 def system_means(spark, sf_dir):
     """One expansion for all groupings."""
     e = experiment(spark, sf_dir)
     g = e.groupingSets([[F.col("system")], [F.col("system"), F.col("chunker")], [F.col("system"), F.col("seed")], [F.col("system"), F.col("chunker"), F.col("seed")]], F.col("system"), F.col("chunker"), F.col("seed"))
-    return g.agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+    g = g.agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+    return g.select("system", F.coalesce("chunker", F.lit("all")).alias("chunker"), F.coalesce(F.col("seed").cast("string"), F.lit("all")).alias("seed"), "n", "mean")
 
 
 #: A grid of two methods, learning rates and update budgets from order rows.

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from gristmill.plans import registry
@@ -21,7 +22,7 @@ def duck():
 
 def canonical(df):
     def text(v):
-        if v is None or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, (float, np.floating)):
             return repr(round(float(v), 9))
