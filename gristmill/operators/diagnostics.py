@@ -74,3 +74,10 @@ def availability(pools: DataFrame, by: list[str]) -> DataFrame:
 def finite(c: Column) -> Column:
     """Null in place of a number that isn't finite."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def ordering(rows: DataFrame, by: list[str], system: str, metrics: list[str]) -> DataFrame:
+    """The systems by falling mean of each metric in each group, and whether the first metric orders them as the last does."""
+    means = rows.groupBy(*by, system).agg(*[F.round(F.avg(m), 9).alias(m) for m in metrics])
+    orders = [F.transform(F.sort_array(F.collect_list(F.struct((-F.col(m)).alias("minus"), F.col(system).alias("s")))), lambda x: x["s"]).alias(f"by_{m}") for m in metrics]
+    return means.groupBy(*by).agg(*orders).withColumn("changed", F.col(f"by_{metrics[0]}") != F.col(f"by_{metrics[-1]}"))

@@ -84,6 +84,13 @@ def with_hashed_vectors(rows: DataFrame, id_column: str, dimensions: int = 64) -
     return own.mapInPandas(run, f"id {kind}, vector array<double>").withColumnRenamed("id", id_column)
 
 
+def normalised(c: Column | str) -> Column:
+    """The vector at unit length, in double precision; a zero vector stays."""
+    v = F.transform(F.col(c) if isinstance(c, str) else c, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+
+
 QUERY_BLOCK = 4096
 
 

@@ -99,3 +99,27 @@ def epoch_draws(groups: DataFrame, group: str, draws: int, seed: int) -> DataFra
     order = W.partitionBy("epoch").orderBy(F.md5(F.concat_ws("|", (F.lit(seed) + F.lit(1_000_003) * F.col("epoch")).cast("string"), F.col(group).cast("string"))), group)
     placed = every.withColumn("place", F.row_number().over(order) - 1)
     return placed.withColumn("draw", F.col("epoch") * count + F.col("place")).where(F.col("draw") < draws).select("draw", "epoch", group)
+
+
+def convert_groups(groups: DataFrame, method: str, instruction: str) -> DataFrame:
+    """Groups of D3 to flat training records: an id hashed from the method and the source, the positive and the negatives as structs."""
+    source = F.sha2(F.concat_ws("\x1f", F.col("query_id").cast("string"), "positive_chunk_id", F.array_join("negative_chunk_ids", "\x1e")), 256)
+    pairs = F.arrays_zip(F.col("negative_chunk_ids").alias("chunk_id"), F.col("negative_texts").alias("text"))
+    return groups.select(
+        F.sha2(F.concat(F.lit(method + "|"), source), 256).alias("group_id"),
+        "query_id",
+        F.lit(method).alias("method"),
+        F.lit(instruction).alias("instruction"),
+        F.struct(F.col("positive_chunk_id").alias("chunk_id"), F.col("positive_text").alias("text"), F.lit(1).alias("label"), F.col("positive_grade").alias("source_grade")).alias("positive"),
+        F.transform(pairs, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"), F.lit(0).alias("label"))).alias("negatives"),
+        source.alias("source_sha256"),
+    )
+
+
+def job_matrix(spark, dims: dict[str, list]) -> DataFrame:
+    """A row for each combination of stated values, with an id made of them."""
+    out = None
+    for name, values in dims.items():
+        own = spark.createDataFrame([(v,) for v in values], [name]).coalesce(1)
+        out = own if out is None else out.crossJoin(own)
+    return out.select(F.concat_ws("_", *[F.col(n).cast("string") for n in dims]).alias("job_id"), *dims)

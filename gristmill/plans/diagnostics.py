@@ -152,3 +152,19 @@ def correction_aggregates(spark, sf_dir):
     by = ["system", "instance", "query_id"]
     both = grading.ndcg(r, by).join(grading.ndcg(r, by, pool=False).withColumnRenamed("ndcg", "legacy"), by)
     return both.groupBy("system").agg(F.count("*").alias("records"), F.round(F.avg("legacy"), 6).alias("legacy"), F.round(F.avg("ndcg"), 6).alias("corrected"), F.round(F.avg(F.col("ndcg") - F.col("legacy")), 6).alias("delta"))
+
+
+@register(
+    "correction_order",
+    f"""WITH {RANKED}, a AS {ndcg_sql('ranked', by='instance, query_id')}, b AS {ndcg_sql('(SELECT * FROM ranked WHERE rank <= 4)', by='instance, query_id')},
+m AS (SELECT 'd' || (a.query_id % 4) AS domain, i.system, round(avg(b.ndcg), 9) AS legacy, round(avg(a.ndcg), 9) AS corrected FROM a JOIN b USING (instance, query_id) JOIN inst i USING (instance) GROUP BY ALL),
+o AS (SELECT domain, string_agg(system, '>' ORDER BY legacy DESC, system) AS by_legacy, string_agg(system, '>' ORDER BY corrected DESC, system) AS by_corrected FROM m GROUP BY domain)
+SELECT *, by_legacy <> by_corrected AS changed FROM o""",
+)
+def correction_order(spark, sf_dir):
+    """Whether the correction changes the order of the systems, by domain."""
+    r = ranked(spark, sf_dir).select("instance", "system", "query_id", "rank", "grade")
+    by = ["system", "instance", "query_id"]
+    both = grading.ndcg(r, by).withColumnRenamed("ndcg", "corrected").join(grading.ndcg(r, by, pool=False).withColumnRenamed("ndcg", "legacy"), by)
+    o = D.ordering(both.withColumn("domain", F.concat(F.lit("d"), (F.col("query_id") % 4).cast("string"))), ["domain"], "system", ["legacy", "corrected"])
+    return o.select("domain", F.array_join("by_legacy", ">").alias("by_legacy"), F.array_join("by_corrected", ">").alias("by_corrected"), "changed")

@@ -84,6 +84,16 @@ def dense_topk(spark, sf_dir):
 HASHED = """tb AS (SELECT chunk_id, t, count(*)::DOUBLE AS n FROM (SELECT chunk_id, unnest(t) AS t FROM tok) GROUP BY ALL)"""
 
 
+@register("vector_norms", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x * (1 + vec_id % 3)) AS v FROM v)
+SELECT vec_id, label, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 6) AS unit_sum FROM n""")
+def vector_norms(spark, sf_dir):
+    """Vectors of other lengths brought to unit length."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3)).alias("v"))
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
+    e = e.withColumn("u", retrieval.normalised("v"))
+    return e.select("vec_id", "label", F.round(F.sqrt(total(F.col("v"), lambda x: x * x)), 6).alias("norm"), F.round(total(F.col("u"), lambda x: x), 6).alias("unit_sum"))
+
+
 @register("rrf_fusion", f"""WITH {DENSE}, back AS (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id))::INT AS rank FROM dense),
 p AS (SELECT query_id, chunk_id, 0 AS l, rank, 0.6::DOUBLE / (60 + rank) AS s FROM dense UNION ALL SELECT query_id, chunk_id, 1, rank, 0.4::DOUBLE / (60 + rank) FROM back WHERE rank <= 10),
 f AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score, min(l * 1000 + rank) AS seen FROM p GROUP BY ALL)

@@ -90,3 +90,34 @@ SELECT (epoch * n + place)::BIGINT AS draw, epoch::BIGINT AS epoch, s_suppkey FR
 def epoch_draws(spark, sf_dir):
     """D10, D13."""
     return S.epoch_draws(table(spark, sf_dir, "supplier"), "s_suppkey", 2500, 20260904)
+
+
+@register(
+    "converted_groups",
+    f"""WITH {GROUPS}, s AS (SELECT *, sha256(query_id || chr(31) || positive_chunk_id || chr(31) || array_to_string(ids, chr(30))) AS source FROM grp)
+SELECT query_id, sha256('B|' || source) AS group_id, positive_chunk_id, len(ids)::INT + 1 AS size, md5(positive_text || array_to_string(texts, '|')) AS texts_md5 FROM s""",
+)
+def converted_groups(spark, sf_dir):
+    """D6, D9."""
+    c = S.convert_groups(groups(spark, sf_dir), "B", "judge")
+    return c.select("query_id", "group_id", F.col("positive.chunk_id").alias("positive_chunk_id"), (F.size("negatives") + 1).alias("size"), F.md5(F.concat(F.col("positive.text"), F.array_join("negatives.text", "|"))).alias("texts_md5"))
+
+
+@register(
+    "collated_pairs",
+    f"""WITH {GROUPS}, f AS (SELECT query_id, positive_chunk_id, [positive_text] || texts AS t FROM grp)
+SELECT query_id, positive_chunk_id, (i - 1)::INT AS position, (i = 1)::INT AS label, length(t[i])::INT AS length FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM f)""",
+)
+def collated_pairs(spark, sf_dir):
+    """Groups to rows, the positive first."""
+    g = groups(spark, sf_dir).withColumn("g", F.struct("query_id", "positive_chunk_id"))
+    texts = S.sequence(F.col("positive_text"), F.col("negative_texts"))
+    rows = S.collate(g, "g", texts, F.transform(texts, lambda t: F.length(t)), 1_000_000)
+    return rows.select("g.query_id", "g.positive_chunk_id", "position", "label", "length")
+
+
+@register("job_matrix", "SELECT m || '_' || r || '_' || u AS job_id, m AS method, r::INT AS rate, u::INT AS updates FROM (SELECT unnest(['B', 'E']) AS m) CROSS JOIN (SELECT unnest([1, 5]) AS r) CROSS JOIN (SELECT unnest([227, 454, 681]) AS u)")
+def job_matrix(spark, sf_dir):
+    """D13."""
+    j = S.job_matrix(spark, {"method": ["B", "E"], "rate": [1, 5], "updates": [227, 454, 681]})
+    return j.select("job_id", "method", *[F.col(c).cast("int").alias(c) for c in ("rate", "updates")])
