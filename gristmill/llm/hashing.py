@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _random = np.random.default_rng(0x5EED)
 _BYTE = _random.integers(0, 1 << 64, 256, np.uint64)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0

@@ -11,7 +11,8 @@ A document's set is its distinct k-word shingles, hashed to 64 bits.  Two sets l
    shingle's position.  Lists are skipped by block: a pair is passed over where sizes are too far apart, or where what
    follows the positions of the shared shingle is too short for the overlap asked for.
 3. Each list proposes its smallest set as leader to all others; the pairs are verified on the texts.  Linked sets are
-   then in one component, and each keeps its smallest verified leader as pivot with the overlap.
+   then in one component.  This is done again with other leaders in long lists that still hold several components, ROUNDS times
+   in all.  Each set keeps its smallest verified leader as pivot with the overlap.
 4. What is left are lists that hold sets of different components.  Their sets are blocks by pivot.  An overlap of x and y
    is at most |p & q| + |x - p| + |y - q| for pivots p and q: with the bound of the sketches whole blocks are skipped; then the
    pivots are verified and, from that computed answer, the pairs of members below what is asked for are skipped too.
@@ -34,16 +35,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import as_bytes, materialise, read, schema_of
 from gristmill.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 3, 90
-CHUNK, HOT, HOT_MOST, SALTS = 2_000_000, 4, 1 << 20, 64
+CHUNK, HOT, HOT_MOST, SALTS = 1_000_000, 4, 1 << 20, 64
 SKETCH = 1024
+ROUNDS, LEADERS, LONG = 3, 12, 32
 MEMBERS = 500
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -224,18 +227,65 @@ def _links(percent: int):
     return F.expr(f"100 * overlap >= {percent} * (x_n + y_n - overlap)")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable from each id of edges (x, y)."""
+def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """(id, label): the smallest id reachable from each id of edges (x, y).
+
+    With `steps`, labels after so many: reachable ids, but not yet the smallest in a long chain.
+    """
     both = materialise(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = materialise(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("label")), "labels")
-    while True:
+    while steps is None or steps > 0:
         around = both.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(around, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         step = materialise(lower.join(up, "label").select("id", "old", F.least("label", "up").alias("label")), "labels")
-        if step.where("label < old").isEmpty():
-            return step.select("id", "label")
         labels = step.select("id", "label")
+        if steps is not None:
+            steps -= 1
+        elif step.where("label < old").isEmpty():
+            break
+    return labels
+
+
+def _mixed(placed: DataFrame, least: int = 2) -> DataFrame:
+    """The lists, of `least` sets or more, that hold sets of different components."""
+    tokens = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"))
+    return placed.join(tokens.where((F.col("low") < F.col("high")) & (F.col("sets") >= least)).select("token"), "token")
+
+
+def _by_leaders(docs: DataFrame, lists: DataFrame, sketches: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs verified with the leaders of ROUNDS rounds, and the components (id, label) of their links.
+
+    A round proposes leaders in each list to all sets of other components: first the smallest set, then, in lists of LONG sets
+    or more, the LEADERS sets that have the largest share of themselves in such lists and haven't led yet. The most ordinary members
+    of a group of near copies are similar to the most others. The pairs grow with the lists, not with their square.
+    """
+    verified = within = None
+    for number in range(ROUNDS):
+        if number:
+            placed = _mixed(lists.join(within, "id", "left").withColumn("label", F.coalesce("label", "id")), LONG)
+            placed = materialise(placed, "long")
+            lists = placed.drop("label")
+            used = verified.select(F.col("x").alias("id")).distinct()
+            central = placed.groupBy("id").agg((F.count("*") / F.max("n")).alias("share")).join(used, "id", "left_anti")
+            order = W.partitionBy("token").orderBy(F.desc(F.round("share", 2)), F.xxhash64("id", F.lit(number)), "id")
+            leaders = placed.join(central, "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
+            leaders = leaders.select("token", F.struct("id", "n", "pos", "label").alias("y"))
+        else:
+            placed = lists.withColumn("label", F.col("id"))
+            leaders = placed.groupBy("token").agg(F.min(F.struct("n", "id", "pos", "label")).alias("y"))
+        proposed = placed.join(leaders, "token").where("label <> y.label").select(F.col("id"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("y.id").alias("lead"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"))
+        pairs = proposed.where(_possible(percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
+        if verified is not None:
+            pairs = pairs.join(_either_way(verified).select("x", "y"), ["x", "y"], "left_anti")
+        found = materialise(verify(docs, _alike(pairs, sketches, percent), k), "verified")
+        verified = found if verified is None else verified.unionByName(found)
+        within = components(verified.where(_links(percent)).select("x", "y"), None if number == ROUNDS - 1 else 1)
+    return verified, within
+
+
+def _either_way(verified: DataFrame) -> DataFrame:
+    return verified.select("x", "y", "x_n", "y_n", "overlap").unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("y_n").alias("x_n"), F.col("x_n").alias("y_n"), "overlap"))
 
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -247,42 +297,40 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sketches = survey.where("kind = 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(names.select("id"), "id").dropDuplicates(["id"])
     lists = materialise(_shared(_postings(docs, k, percent, _frequent(survey))).join(names, "sid").select("token", "id", "n", "pos"), "lists")
 
-    leaders = lists.groupBy("token").agg(F.min(F.struct("n", "id", "pos")).alias("y"))
-    proposed = lists.join(leaders, "token").where("id <> y.id").select(F.col("id"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("y.id").alias("lead"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"))
-    pairs = proposed.where(_possible(percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
-    first = materialise(verify(docs, _alike(pairs, sketches, percent), k), "verified")
-    links = first.where(_links(percent)).select("x", "y")
-    within = components(links)
-
-    pivots = first.where(_links(percent)).groupBy(F.col("y").alias("id")).agg(F.min(F.struct(F.col("x").alias("pivot"), (F.col("y_n") - F.col("overlap")).alias("beyond"))).alias("p"))
-    placed = lists.join(within, "id", "left").join(pivots, "id", "left")
-    placed = placed.select("token", "id", "n", "pos", F.coalesce("label", "id").alias("label"), F.coalesce("p.pivot", "id").alias("pivot"), F.coalesce("p.beyond", F.lit(0)).alias("beyond"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    left = materialise(placed.join(mixed, "token"), "left")
+    verified, within = _by_leaders(docs, lists, sketches, k, percent)
+    links = verified.where(_links(percent)).select("x", "y")
+    pivots = verified.where(_links(percent)).groupBy(F.col("y").alias("id")).agg(F.min(F.struct(F.col("x").alias("pivot"), (F.col("y_n") - F.col("overlap")).alias("beyond"))).alias("p"))
+    placed = _mixed(lists.join(within, "id", "left").withColumn("label", F.coalesce("label", "id"))).join(pivots, "id", "left")
+    left = materialise(placed.select("token", "id", "n", "pos", "label", F.coalesce("p.pivot", "id").alias("pivot"), F.coalesce("p.beyond", F.lit(0)).alias("beyond")), "left")
     if not left.isEmpty():
-        more = _across(docs, left, first, sketches, k, percent)
+        more = _across(docs, left, verified, sketches, k, percent)
         links = links.unionByName(more)
         within = components(links)
     out = sets.join(classes, ["a", "b"], "left").join(within.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def _across(docs: DataFrame, left: DataFrame, first: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(docs: DataFrame, left: DataFrame, verified: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (x, y) between different components, from the lists that hold more than one."""
-    blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("beyond").alias("beyond"))
-    a, b = (blocks.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "label", "least", "most", "pos", "beyond")]) for side in "ab")
+    blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("beyond").alias("beyond"), ((F.min("id") == F.col("pivot")) & (F.max("id") == F.col("pivot"))).alias("alone"))
+    a, b = (blocks.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "label", "least", "most", "pos", "beyond", "alone")]) for side in "ab")
     near = a.join(b, "token").where(
         f"a_label < b_label and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least"
         f" and least(a_most - a_pos, b_most - b_pos) * {100 + percent} >= {percent} * (a_least + b_least)"
     )
-    near = materialise(near.select("token", F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes")), "blocks")
+    near = materialise(near.select("token", F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"), (F.col("a_alone") & F.col("b_alone")).alias("alone"), *[F.col(f"b_{c}").alias(f"y_{c}") for c in ("least", "most", "pos", "beyond")]), "blocks")
     asked = near.groupBy("x", "y").agg(F.max("beyond").alias("beyond"), F.min("sizes").alias("sizes"))
     asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes"), "asked-blocks")
-    known = first.select("x", "y", "x_n", "y_n", "overlap").unionByName(first.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("y_n").alias("x_n"), F.col("x_n").alias("y_n"), "overlap"))
+    known = _either_way(verified)
     new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k)
     answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "x_n", "y_n", "overlap").unionByName(new), "answers")
     x, y = (left.select("token", F.col("pivot").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "beyond")]) for side in "xy")
-    pairs = near.select("token", "x", "y").join(answers.select("x", "y", "overlap"), ["x", "y"]).join(x, ["token", "x"]).where(f"(overlap + x_beyond) * {100 + percent} >= {percent} * x_n").join(y, ["token", "y"])
+    # blocks that hold their pivots alone are answered by them; of the others those stay whose bound is high enough
+    open_blocks = near.where("not alone").join(answers.select("x", "y", "overlap"), ["x", "y"]).where(f"(overlap + beyond) * {100 + percent} >= {percent} * sizes")
+    open_blocks = open_blocks.select("token", "x", "y", "overlap", *[F.col(f"y_{c}").alias(f"of_{c}") for c in ("least", "most", "pos", "beyond")])
+    # each member of the first block against the bounds of the second, then the members that are left against each other
+    fits = f"least(overlap + x_beyond + of_beyond, x_n - x_pos, of_most - of_pos) * {100 + percent} >= {percent} * (x_n + of_least) and 100 * x_n >= {percent} * of_least and 100 * of_most >= {percent} * x_n"
+    pairs = open_blocks.join(x, ["token", "x"]).where(fits).join(y, ["token", "y"])
     pairs = pairs.where(_possible(percent)).where("x_id <> x or y_id <> y").where(f"(overlap + x_beyond + y_beyond) * {100 + percent} >= {percent} * (x_n + y_n)")
     pairs = pairs.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct().join(known, ["x", "y"], "left_anti")
     found = verify(docs, _alike(pairs, sketches, percent), k)
