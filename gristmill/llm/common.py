@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill import importable
+
 _own: dict[str, str] = {}
 
 
@@ -36,11 +38,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string), a null text as the empty one."""
+    importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
