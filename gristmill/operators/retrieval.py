@@ -22,6 +22,15 @@ RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 0.6, 0.4
 DIGITS = 9
 
 
+SMALL = 500_000
+
+
+def small(df: DataFrame, like: DataFrame | None = None, most: int = SMALL) -> DataFrame:
+    """`df` with a broadcast hint where `like`, a table of at least as many rows that is cheap to count, has at most `most`."""
+    counted = df if like is None else like
+    return F.broadcast(df) if counted.limit(most + 1).count() <= most else df
+
+
 def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The k best of each query by (-score, chunk_id); Spark cuts each task's share to k before the shuffle."""
     order = W.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")
@@ -50,13 +59,14 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """
     idf, size = bm25_statistics(chunks)
     asked = queries.select("query_id", F.explode(lexical_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = idf.join(asked.select("term").distinct(), "term", "left_semi")
+    words = asked.select("term").distinct()
+    terms = small(idf.join(small(words), "term", "left_semi"), like=words)  # else the exploded chunks might be taken for the smaller side
     tokens = chunks.select("chunk_id", lexical_tokens("text").alias("tokens"))
     postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     tf = postings.join(terms, "term").groupBy("chunk_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighted = tf.crossJoin(F.broadcast(size)).select("term", "chunk_id", weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), DIGITS).alias("score"))
+    scored = weighted.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), DIGITS).alias("score"))
     smallest = chunks.select("chunk_id", "text").orderBy("chunk_id").limit(2 * k)
     held = smallest.select("chunk_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term")).join(asked, "term").select("query_id", "chunk_id").distinct()
     fill = queries.select("query_id").crossJoin(F.broadcast(smallest.select("chunk_id"))).join(held, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -1 +1,3 @@
+"""The queries; importing the package registers them."""
 
+from gristmill.plans import answers, chunks, diagnostics, dialogue, grading, integrity, retrieval, statistics, supervision, texts  # noqa: F401

@@ -31,6 +31,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_bm25_ndcg"](spark, sf_dir)
-
-
-from gristmill.plans import answers, chunks, diagnostics, dialogue, grading, integrity, retrieval, statistics, supervision, texts  # noqa: E402,F401
