@@ -382,3 +382,44 @@ def test_overlap_and_flow(spark):
 def test_best_match_without_references(spark):
     r = spark.createDataFrame([("", []), ("x", []), ("The x", ["y", "X!"])], "p string, r array<string>").select(T.best_f1("p", F.col("r")).alias("f"), T.best_exact_match("p", F.col("r")).alias("e")).collect()
     assert [(x.f, x.e) for x in r] == [(1.0, 1.0), (0.0, 0.0), (1.0, 1.0)]
+
+
+def test_results_dont_hang_on_partitions(spark):
+    chunks = spark.createDataFrame([(f"c{i:02d}", "d", f"w{i % 5} w{i % 3} x", i) for i in range(40)], "chunk_id string, doc_id string, text string, rank int")
+    q = spark.createDataFrame([(1, "w1 x"), (2, "w2 w0")], "query_id int, text string")
+    a = sorted(map(tuple, retrieval.bm25(q, chunks, 9).collect()))
+    assert a == sorted(map(tuple, retrieval.bm25(q.repartition(3), chunks.repartition(7, "text"), 9).collect()))
+    pool = chunks.withColumn("query_id", F.lit(1))
+    assert retrieval.pool_hash(pool).first().pool_sha256 == retrieval.pool_hash(pool.orderBy(F.desc("chunk_id")).repartition(5)).first().pool_sha256
+    assert retrieval.pool_hash(pool).first().pool_sha256 != retrieval.pool_hash(pool.withColumn("rank", F.col("rank") + 1)).first().pool_sha256
+
+
+def test_pruning_reasons(spark):
+    g = spark.createDataFrame([(1, ["a", "b"], 9, [5, 99]), (2, ["a"], 99, [5]), (3, ["a"], 5, [99])], "query_id int, negative_chunk_ids array<string>, p int, n array<int>")
+    got = {r.query_id: (r.status, r.reason, r.kept_chunk_ids, r.pair_token_counts) for r in supervision.prune_pairs(g, F.col("p"), F.col("n"), 50).collect()}
+    assert got == {1: ("retained", None, ["a"], [9, 5]), 2: ("excluded", "overlength_positive_pair", None, None), 3: ("excluded", "no_surviving_negative_pair", None, None)}
+    with pytest.raises(Exception, match="limit"):
+        supervision.collate(g, "query_id", F.col("negative_chunk_ids"), F.col("n"), 50).collect()
+    with pytest.raises(ValueError):
+        supervision.listwise_groups(rows(spark), 0)
+
+
+def test_job_matrix(spark):
+    j = supervision.job_matrix(spark, {"m": ["B", "E"], "r": [1, 2, 3]}).collect()
+    assert len(j) == 6 and len({r.job_id for r in j}) == 6
+
+
+def test_dialogue_one_per_group(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "g int, x string")
+    one = dialogue.one_per(df, "g", F.col("x"), "s").collect()
+    assert len(one) == 2 and dialogue.one_per(df.repartition(4), "g", F.col("x"), "s").where("g = 1").first().x == next(r.x for r in one if r.g == 1)
+
+
+def test_schema_of_empty_inputs(spark):
+    empty = spark.createDataFrame([], "query_id int, chunk_id string, rank int, grade int, doc_id string, text string, fused_rank int, chunker string")
+    assert grading.ndcg(empty, ["query_id"]).count() == 0
+    assert supervision.dedup_label_blind(empty).count() == supervision.listwise_groups(empty).count() == 0
+    assert stats.summary(empty, "grade").first().n == 0
+    chunks = spark.createDataFrame([], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "x")], "query_id int, text string")
+    assert retrieval.bm25(q, chunks, 3).count() == 0
