@@ -29,10 +29,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import as_bytes, read, schema_of
+from gristmill.llm.common import as_bytes, map_arrow, read, schema_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED = 300_000
+CACHED = 100_000
 LONGEST = 100
 CHUNK = 4 << 20
 #: White space as the Unicode property has it.
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"][: len(arrays)])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, schema_of("doc_id long, ids array<int>" + ", decoded binary" * decoded))
+    return map_arrow(d, run, schema_of("doc_id long, ids array<int>" + ", decoded binary" * decoded))
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema_of("doc_id long, decoded binary"))
+    return map_arrow(encoded.select("doc_id", "ids"), run, schema_of("doc_id long, decoded binary"))
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, schema_of("doc_id long, n_tokens long"))
+    return map_arrow(d, run, schema_of("doc_id long, n_tokens long"))
 
 
 def query(spark, sf_dir):

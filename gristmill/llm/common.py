@@ -6,9 +6,11 @@ columns, whatever their names, never reach an operator's plan.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "2000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches to Python have BATCH_ROWS rows at most: texts are long, and a worker holds a batch several times over."""
+    if int(spark.conf.get(_ROWS)) > int(BATCH_ROWS):
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow` in bounded batches; when a task ends its worker, which later stages use again, gives free memory back."""
+    bounded_batches(df.sparkSession)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

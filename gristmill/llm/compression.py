@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import as_bytes, read, remainder, schema_of
+from gristmill.llm.common import as_bytes, map_arrow, read, remainder, schema_of
 
 BLOCK, LEVEL, DICTIONARY = 512, 3, 65_536
 SAMPLE, SAMPLE_BYTES = 4_000, 6_000
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             s = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return as_bytes(docs, (remainder(FOLDS) == 0).alias("held_out")).mapInArrow(run, schema_of("doc_id long, held_out boolean, score double, predicted int"))
+    return map_arrow(as_bytes(docs, (remainder(FOLDS) == 0).alias("held_out")), run, schema_of("doc_id long, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,7 +140,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(score(texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark, sf_dir):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import as_bytes, materialise, read, schema_of
+from gristmill.llm.common import as_bytes, map_arrow, materialise, read, schema_of
 from gristmill.llm.licenses import words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 cols = list(zip(*found)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=names)
 
-        return as_bytes(docs).mapInArrow(run, schema_of(SCHEMA))
+        return map_arrow(as_bytes(docs), run, schema_of(SCHEMA))
 
     return reduce(DataFrame.unionByName, [against(_scanner(docs.sparkSession, items, similarity, k, radius)) for items in item_blocks(benchmark)])
 
@@ -220,7 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         return run
 
     for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(without(_scanner(docs.sparkSession, items, similarity, k, radius)), docs.schema)
+        docs = map_arrow(docs, without(_scanner(docs.sparkSession, items, similarity, k, radius)), docs.schema)
     return docs
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import as_bytes, materialise, read, schema_of
+from gristmill.llm.common import as_bytes, map_arrow, materialise, read, schema_of
 from gristmill.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -95,7 +95,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return as_bytes(docs).mapInArrow(run, schema_of("kind tinyint, doc_id long, n long, a long, b long, sketch array<long>"))
+    return map_arrow(as_bytes(docs), run, schema_of("kind tinyint, doc_id long, n long, a long, b long, sketch array<long>"))
 
 
 def _frequent(survey: DataFrame) -> np.ndarray:
@@ -142,7 +142,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
             if tokens:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(sids)), pa.array(np.concatenate(places))], names=["token", "sid", "place"])
 
-    return as_bytes(docs).mapInArrow(run, schema_of("token long, sid long, place long"))
+    return map_arrow(as_bytes(docs), run, schema_of("token long, sid long, place long"))
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _shared(postings: DataFrame) -> DataFrame:
         if last is not None and (told is not None or last[2] >> 56 > 0):
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], names=["token", "sid", "place"])
 
-    kept = dealt.mapInArrow(run, schema_of("token long, sid long, place long"))
+    kept = map_arrow(dealt, run, schema_of("token long, sid long, place long"))
     return kept.select("token", "sid", F.shiftright("place", 24).bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"))
 
 
@@ -220,7 +220,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["x", "y", "x_n", "y_n", "overlap"])
 
-    return texts.repartition("x", "run").sortWithinPartitions("x", "run", "role", "doc_id").mapInArrow(run, schema_of("x long, y long, x_n long, y_n long, overlap long"))
+    return map_arrow(texts.repartition("x", "run").sortWithinPartitions("x", "run", "role", "doc_id"), run, schema_of("x long, y long, x_n long, y_n long, overlap long"))
 
 
 def _links(percent: int):

@@ -22,7 +22,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gristmill.llm.common import as_bytes, read, schema_of
+from gristmill.llm.common import as_bytes, map_arrow, read, schema_of
 
 # Notices and headers by which texts state their license.
 TEMPLATES = {
@@ -148,7 +148,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return as_bytes(docs).mapInArrow(run, schema_of(SCHEMA))
+    return map_arrow(as_bytes(docs), run, schema_of(SCHEMA))
 
 
 def query(spark, sf_dir):
