@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.operators.retrieval import small
+
 
 def _key(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[F.lit(str(p)) if not isinstance(p, Column) else p.cast("string") for p in parts]))
@@ -47,11 +49,11 @@ def bootstrap(rows: DataFrame, value: str, family: str, domain: str, draws: int,
     count = f.groupBy(domain).agg(F.count("*").alias("size"))
     placed = f.withColumn("i", (F.row_number().over(W.partitionBy(domain).orderBy(family)) - 1).cast("long")).join(F.broadcast(count), domain)
     numbers = rows.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    slots = placed.select(domain, "size", F.col("i").alias("slot")).crossJoin(F.broadcast(numbers))
+    # small in bytes, but each row becomes `draws` of them: all cores take part
+    slots = placed.select(domain, "size", F.col("i").alias("slot")).repartition(rows.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(numbers))
     drawn = slots.select("draw", domain, index(seed, F.col("draw"), F.concat_ws(":", F.col(domain), F.col("slot").cast("string")), F.col("size")).alias("i"))
-    # how often each family is drawn is counted first, so that a draw's sums meet as one row for each family
-    times = drawn.groupBy("draw", domain, "i").agg(F.count("*").alias("times"))
-    return times.join(placed.select(domain, "i", "s", "n"), [domain, "i"]).groupBy("draw").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    # families, where they are few enough, go to the draws: each task then sums its part of a draw before the shuffle
+    return drawn.join(small(placed.select(domain, "i", "s", "n")), [domain, "i"]).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def interval(samples: DataFrame, column: str = "mean", level: float = 0.95) -> DataFrame:
