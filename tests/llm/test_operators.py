@@ -356,6 +356,16 @@ def test_model_beats_base_on_held_out_order(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held) * 0.9
 
 
+def test_words_beyond_the_seed_get_classes_by_exchange(spark):
+    """Two sets of 2,000 words that alternate; their endings say nothing of the set, and most of them aren't seeds."""
+    rng = np.random.default_rng(12)
+    names = [hashlib.md5(b"%d" % i).hexdigest()[:9] for i in range(4000)]
+    data = [(d, " ".join(names[2000 * (i % 2) + rng.integers(0, 2000)] for i in range(100))) for d in range(1200)]
+    held = [r for r in brown.score(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect() if r.held_out]
+    per_token = sum(r.score for r in held) / sum(r.n_tokens for r in held)
+    assert 10**-per_token < 0.75 * 10 ** -(sum(r.base_score for r in held) / sum(r.n_tokens for r in held))
+
+
 # ---- 9
 
 
