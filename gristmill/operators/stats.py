@@ -38,7 +38,9 @@ def sign_flip_p(rows: DataFrame, value: str, family: str, draws: int, seed: int)
     f = families(rows, value, family)
     total = f.agg(F.sum("s").alias("total"), F.sum("n").alias("docs"))
     numbers = rows.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    null = f.crossJoin(F.broadcast(numbers)).groupBy("draw").agg(F.sum(F.col("s") * sign(seed, F.col("draw"), F.col(family))).alias("t"))
+    # small in bytes, but each row becomes `draws` of them: all cores take part
+    spread = f.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    null = spread.crossJoin(F.broadcast(numbers)).groupBy("draw").agg(F.sum(F.col("s") * sign(seed, F.col("draw"), F.col(family))).alias("t"))
     extreme = F.abs(F.round("t", 9)) >= F.abs(F.round("total", 9))
     return null.crossJoin(F.broadcast(total)).agg(F.max(F.col("total") / F.col("docs")).alias("observed"), F.count("*").alias("draws"), ((F.sum(extreme.cast("long")) + 1) / (F.count("*") + 1)).alias("p"))
 

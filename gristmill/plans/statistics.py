@@ -11,7 +11,9 @@ from gristmill.operators import stats
 from gristmill.plans.registry import register, table
 
 DOCS = "d AS (SELECT l_orderkey AS doc, o_custkey AS family, o_orderpriority AS domain, avg(l_discount - l_tax) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
-SEED, DRAWS = 20260923, 200
+SEED = 20260923
+#: The reference's numbers of draws.
+SIGN_FLIPS, BOOTSTRAPS = 100_000, 20_000
 
 
 def docs(spark, sf_dir):
@@ -23,24 +25,24 @@ def docs(spark, sf_dir):
 @register(
     "sign_flip_p",
     f"""WITH {DOCS}, f AS (SELECT family, sum(v) AS s, count(*) AS n FROM d GROUP BY family), t AS (SELECT sum(s) AS total, sum(n) AS docs FROM f),
-x AS (SELECT draw, sum(CASE WHEN substr(md5('{SEED}|' || draw || '|' || family), 1, 1) < '8' THEN s ELSE -s END) AS t FROM f CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) GROUP BY draw)
+x AS (SELECT draw, sum(CASE WHEN substr(md5('{SEED}|' || draw || '|' || family), 1, 1) < '8' THEN s ELSE -s END) AS t FROM f CROSS JOIN (SELECT unnest(range({SIGN_FLIPS})) AS draw) GROUP BY draw)
 SELECT round(max(total / docs), 9) AS observed, count(*)::BIGINT AS draws, round((1 + sum((abs(round(t, 9)) >= abs(round(total, 9)))::INT)) / (count(*) + 1)::DOUBLE, 9) AS p FROM x, t""",
 )
 def sign_flip_p(spark, sf_dir):
     """A27."""
-    p = stats.sign_flip_p(docs(spark, sf_dir), "v", "family", DRAWS, SEED)
+    p = stats.sign_flip_p(docs(spark, sf_dir), "v", "family", SIGN_FLIPS, SEED)
     return p.select(F.round("observed", 9).alias("observed"), "draws", F.round("p", 9).alias("p"))
 
 
 BOOT = f"""{DOCS}, f AS (SELECT domain, family, sum(v) AS s, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY family) - 1 AS i, count(*) OVER (PARTITION BY domain) AS size FROM d GROUP BY domain, family),
-x AS (SELECT draw, domain, ('0x' || substr(md5('{SEED}|' || draw || '|' || domain || ':' || i), 1, 8))::UBIGINT % size AS i FROM f CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)),
+x AS (SELECT draw, domain, ('0x' || substr(md5('{SEED}|' || draw || '|' || domain || ':' || i), 1, 8))::UBIGINT % size AS i FROM f CROSS JOIN (SELECT unnest(range({BOOTSTRAPS})) AS draw)),
 b AS (SELECT draw, sum(s) / sum(n) AS mean FROM x JOIN f USING (domain, i) GROUP BY draw)"""
 
 
 @register("cluster_bootstrap_ci", f"WITH {BOOT} SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM b")
 def cluster_bootstrap_ci(spark, sf_dir):
     """A26, A28."""
-    b = stats.bootstrap(docs(spark, sf_dir), "v", "family", "domain", DRAWS, SEED)
+    b = stats.bootstrap(docs(spark, sf_dir), "v", "family", "domain", BOOTSTRAPS, SEED)
     return stats.interval(b).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 

@@ -51,3 +51,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_resampling_has_the_draws_of_the_reference(spark, monkeypatch):
+    assert registry.QUERIES["sign_flip_p"](spark, SF).first().draws == 100_000
+    from gristmill.operators import stats
+
+    drawn, bootstrap = [], stats.bootstrap
+    monkeypatch.setattr(stats, "bootstrap", lambda *a: drawn.append(bootstrap(*a)) or drawn[-1])
+    registry.QUERIES["cluster_bootstrap_ci"](spark, SF)
+    assert drawn[0].count() == 20_000
