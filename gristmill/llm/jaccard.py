@@ -16,8 +16,10 @@ A document's set is its distinct k-word shingles, hashed to 64 bits.  Two sets l
 4. What is left are lists that hold sets of different components.  Their sets are blocks by pivot.  An overlap of x and y
    is at most |p & q| + |x - p| + |y - q| for pivots p and q: with the bound of the sketches whole blocks are skipped; then the
    pivots are verified and, from that computed answer, the pairs of members below what is asked for are skipped too.
-   Pairs inside a component are never formed: no link between components is lost, and no group gives all its pairs.
+   Pairs inside a component are not needed for this: no link between components is lost.
 5. Components of all verified links.
+6. Links inside components are counted for each class: what the pivots' overlaps settle is counted by groups of members, so that
+   no group gives all its pairs; the pairs that stay open are verified on the texts (`join_links`).
 
 The order of shingles is free, so the frequent ones need not be found exactly: shingles are counted where they occur twice or
 more in a run of CHUNK shingles, and the most frequent HOT_MOST of those counted HOT or more are moved last and sent to all
@@ -288,8 +290,8 @@ def _either_way(verified: DataFrame) -> DataFrame:
     return verified.select("x", "y", "x_n", "y_n", "overlap").unionByName(verified.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("y_n").alias("x_n"), F.col("x_n").alias("y_n"), "overlap"))
 
 
-def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each document: its set's size, its class and its component."""
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
+    """Sets by document, classes, components (id, label), verified pairs and the sketches of classes."""
     survey = materialise(_survey(docs, k), "survey")
     sets = survey.where("kind = 0").select("doc_id", "n", "a", "b")
     classes = materialise(sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -306,8 +308,70 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         more = _across(docs, left, verified, sketches, k, percent)
         links = links.unionByName(more)
         within = components(links)
+    return sets, classes, within, verified, sketches
+
+
+def _output(sets: DataFrame, classes: DataFrame, within: DataFrame) -> DataFrame:
     out = sets.join(classes, ["a", "b"], "left").join(within.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: its set's size, its class and its component."""
+    return _output(*_joined(docs, k, percent)[:3]).drop("copies")
+
+
+def join_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`join_components` with n_links, the number of other documents that a document links with, equal ones and all others."""
+    sets, classes, within, verified, sketches = _joined(docs, k, percent)
+    out = materialise(_output(sets, classes, within), "joined")
+    sizes = out.where("n_shingles > 0 and class_id is not null").groupBy(F.col("class_id").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies"))
+    near = _near(docs, within, materialise(sizes, "sizes"), verified, sketches, k, percent)
+    both = out.join(near.withColumnRenamed("id", "class_id"), "class_id", "left")
+    n_links = F.when(F.col("n_shingles") > 0, F.coalesce("near", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    return both.select(*out.drop("copies").columns, n_links.cast("long").alias("n_links"))
+
+
+def _near(docs: DataFrame, within: DataFrame, sizes: DataFrame, verified: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, near): of each class in a component, the documents of the other classes that it links with.
+
+    x of pivot p and y of pivot q have |p & q| - |p - x| - |q - y| in common at least, and |p & q| + |x - p| + |y - q| at most.
+    Members of a pivot are put together by size and distance to it, so that pairs of such cells that all link, or can't, are
+    answered by the pivots' overlap without any pair of members; members of the cells that stay open are verified on the texts.
+    """
+    asks = f"* {100 + percent} >= {percent} *"
+    pivot = F.struct(F.col("x").alias("pivot"), (F.col("y_n") - F.col("overlap")).alias("beyond"), (F.col("x_n") - F.col("overlap")).alias("lost"))
+    pivots = verified.where(_links(percent)).groupBy(F.col("y").alias("id")).agg(F.min(pivot).alias("p"))
+    cell = ["pivot", "n", "beyond", "lost"]
+    members = within.join(sizes, "id").join(pivots, "id", "left")
+    members = materialise(members.select("label", "id", "n", "copies", F.coalesce("p.pivot", "id").alias("pivot"), F.coalesce("p.beyond", F.lit(0)).alias("beyond"), F.coalesce("p.lost", F.lit(0)).alias("lost")), "members")
+    cells = materialise(members.groupBy("label", *cell).agg(F.sum("copies").alias("w")), "cells")
+
+    blocks = cells.groupBy("label", "pivot").agg(F.max("beyond").alias("beyond"), F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = (blocks.select("label", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "beyond", "least", "most")]) for side in "ab")
+    asked = a.join(b, "label").where(f"a_pivot < b_pivot and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least")
+    asked = asked.select(F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"))
+    asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes"), "asked-pivots")
+    known = _either_way(verified).select("x", "y", "overlap").distinct()
+    new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k).select("x", "y", "overlap")
+    answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "overlap").unionByName(new), "pivots")
+    own = cells.select(F.col("pivot").alias("x"), F.col("pivot").alias("y"), (F.col("n") - F.col("beyond") + F.col("lost")).alias("overlap")).distinct()
+    answers = answers.unionByName(answers.select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap")).unionByName(own)
+
+    a, b = (cells.select(*[F.col(c).alias(f"{side}_{c}") for c in (*cell, "w")]) for side in "ab")
+    grid = a.join(answers, a["a_pivot"] == answers["x"]).join(b, answers["y"] == b["b_pivot"])
+    grid = grid.where(f"least(overlap + a_beyond + b_beyond, a_n, b_n) {asks} (a_n + b_n)").withColumn("sure", F.expr(f"(overlap - a_lost - b_lost) {asks} (a_n + b_n)"))
+    grid = materialise(grid.drop("x", "y", "overlap"), "grid")
+    same = " and ".join(f"a_{c} = b_{c}" for c in cell)
+    sure = grid.where("sure").groupBy(*[F.col(f"a_{c}").alias(c) for c in cell]).agg(F.sum("b_w").alias("w"), F.max(F.expr(same)).alias("self"))
+    counted = members.join(sure, cell).select("id", (F.col("w") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("near"))
+
+    x, y = (members.select(F.col("id").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in cell]) for side, name in (("x", "a"), ("y", "b")))
+    pairs = grid.where("not sure").join(x, [f"a_{c}" for c in cell]).join(y, [f"b_{c}" for c in cell]).where("x < y").select("x", "y")
+    found = materialise(verify(docs, _alike(pairs, sketches, percent), k).where(_links(percent)), "inner").select("x", "y")
+    found = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    found = found.join(sizes.select(F.col("id").alias("y"), "copies"), "y").select(F.col("x").alias("id"), F.col("copies").alias("near"))
+    return counted.unionByName(found).groupBy("id").agg(F.sum("near").alias("near"))
 
 
 def _across(docs: DataFrame, left: DataFrame, verified: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
@@ -350,4 +414,4 @@ def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return join_components(read(spark, sf_dir, "documents"))
+    return join_links(read(spark, sf_dir, "documents"))

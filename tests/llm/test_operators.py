@@ -296,6 +296,33 @@ def test_jaccard_edges(spark, docs, nothing, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in want if want[d] == d) and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_jaccard_links_are_all_counted(spark, percent):
+    """Near copies at several distances, equal copies, and a chain: every document's number of links."""
+    rng = np.random.default_rng(3)
+    word = lambda: "w%d" % rng.integers(0, 900)
+    data = []
+    for group in range(4):
+        base = [word() for _ in range(100)]
+        for i in range(40):
+            t = list(base)
+            for _ in range(rng.integers(0, 9)):
+                t[rng.integers(0, 100)] = word()
+            data.append((100 * group + i, " ".join(t)))
+            if i % 13 == 0:
+                data.append((100 * group + 50 + i, " ".join(t)))
+        for i in range(15):
+            base[int(rng.integers(0, 100))] = word()
+            data.append((1000 + 100 * group + i, " ".join(base)))
+    data += [(5000, None), (5001, ""), (5002, "alone here now")]
+    sets = {d: brute.shingle_set(t) for d, t in data}
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    want = {d: sum(linked(s, u) for e, u in sets.items() if e != d) for d, s in sets.items()}
+    got = by_id(jaccard.join_links(spark.createDataFrame(data, "doc_id long, text string").repartition(5), 3, percent))
+    assert {d: r.n_links for d, r in got.items()} == want
+    assert {d: r.component_id for d, r in got.items()} == brute.components(sets, percent)
+
+
 def test_hashes_tell_words_apart():
     words = sorted({b"%x" % (i * 2654435761 % (1 << 40)) for i in range(200_000)} | {b"ab", b"ba", b"AB\xc3\xa9", b"x" * 5000, b"x" * 5001})
     h, _ = hashing.word_hashes([b" ".join(words)])
