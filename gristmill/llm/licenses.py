@@ -7,7 +7,9 @@ that are aligned.
 
 A template can only be covered to C if at least that share of its words occurs in the text at all; texts that fail
 this for every template are passed over.  In the others, each template is aligned with every region of the text: a
-region ends where more than one template length goes by without a word pair of the template.
+region ends where more than one template length goes by without a word pair of the template.  A region is cut where the
+template starts again, that is where the place of a word pair in the template falls back; the whole region counts where no
+part covers the template.
 
 Edge cases: null and empty texts match nothing; a template found several times is reported by its best region, the
 first of equals, with the number of regions; equal texts are reported each; repeated rows too; an empty table gives an
@@ -96,6 +98,8 @@ class Scanner:
         self.templates = {name: words for name, words in self.templates.items() if words}
         self.vocabulary = {w for words in self.templates.values() for w in words}
         self.pairs = {name: set(zip(words, words[1:])) or {(words[0],)} for name, words in self.templates.items()}
+        counts = {name: Counter(zip(words, words[1:])) for name, words in self.templates.items()}
+        self.places = {name: {p: i for i, p in enumerate(zip(words, words[1:])) if counts[name][p] == 1} for name, words in self.templates.items()}
 
     def regions(self, words: list[bytes], name: str) -> list[tuple[int, int]]:
         """Half-open runs of words around the template's word pairs."""
@@ -111,6 +115,22 @@ class Scanner:
             last = i
         return out
 
+    def parts(self, words: list[bytes], name: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The region, cut where the place of the template's word pairs falls back."""
+        places, cuts, last, before = self.places[name], [start], start - 2, -1
+        for i in range(start, end - 1):
+            place = places.get((words[i], words[i + 1]))
+            if place is not None:
+                if place <= before:
+                    cuts.append(min(i, max(last + 2, i - place)))
+                last, before = i, place
+        return list(zip(cuts, [*cuts[1:], end]))
+
+    def covered(self, words: list[bytes], template: list[bytes], runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(aligned words, first and last place) of the runs that cover the template."""
+        aligned = [(start, align(template, words[start:end])) for start, end in runs]
+        return [(len(p), start + p[0][1], start + p[-1][1] + 1) for start, p in aligned if p and len(p) >= self.coverage * len(template)]
+
     def scan(self, text: bytes) -> list[tuple[str, float, int, int, int, int]]:
         """(license, coverage, aligned words, first and last place, regions) of each template that the text covers."""
         words = words_of(text)
@@ -120,12 +140,13 @@ class Scanner:
             if sum(w in present for w in template) < self.coverage * len(template):
                 continue
             best, found = None, 0
-            for start, end in self.regions(words, name):
-                pairs = align(template, words[start:end])
-                if len(pairs) >= self.coverage * len(template):
-                    found += 1
-                    if best is None or len(pairs) > best[0]:
-                        best = (len(pairs), start + pairs[0][1], start + pairs[-1][1] + 1)
+            for region in self.regions(words, name):
+                parts = self.parts(words, name, *region)
+                covered = self.covered(words, template, parts) or (self.covered(words, template, [region]) if len(parts) > 1 else [])
+                found += len(covered)
+                for hit in covered:
+                    if best is None or hit[0] > best[0]:
+                        best = hit
             if best:
                 out.append((name, round(best[0] / len(template), 6), *best, found))
         return out

@@ -186,6 +186,15 @@ def test_license_scan(spark, docs, nothing):
     assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(docs).count() == 0
 
 
+def test_adjacent_notices_are_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    hits = {h[0]: h for h in scanner.scan(b"a b c d e f g h released under the mit license released under the mit license x y z")}
+    assert hits["mit"] == ("mit", 1.0, 5, 8, 13, 2)
+    header = licenses.TEMPLATES["apache-2.0-header"]
+    hits = {h[0]: h for h in scanner.scan(f"top {header} int main; {header} end".encode())}
+    assert hits["apache-2.0-header"][1] == 1.0 and hits["apache-2.0-header"][5] == 2
+
+
 def test_alignment_is_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(300):
