@@ -37,7 +37,9 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "all-rights-reserved": "Copyright. All rights reserved.",
+    "rights-reserved": "All rights reserved.",
 }
+SHORT, REACH = 8, 24  # templates of few words: names and years may stand between the words, so regions reach further back
 COVERAGE = 0.8
 _SPLIT = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -107,7 +109,7 @@ class Scanner:
         hits = [i for i in range(len(words)) if tuple(words[i : i + 2]) in pairs] if n > 1 else [i for i, w in enumerate(words) if (w,) in pairs]
         out: list[tuple[int, int]] = []
         for i in hits:
-            start, end = max(0, i - n), min(len(words), i + n + 1)
+            start, end = max(0, i - (n if n > SHORT else REACH)), min(len(words), i + n + 1)
             if out and i - last <= n:
                 out[-1] = (out[-1][0], end)
             else:

@@ -195,6 +195,13 @@ def test_adjacent_notices_are_found():
     assert hits["apache-2.0-header"][1] == 1.0 and hits["apache-2.0-header"][5] == 2
 
 
+def test_rights_reserved_with_and_without_a_holder():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    assert [h[:2] for h in scanner.scan(b"some words. All rights reserved. more words")] == [("rights-reserved", 1.0)]
+    hits = {h[0]: h for h in scanner.scan(b"x Copyright (c) 2020 A B C D Inc. All rights reserved. y")}
+    assert hits["all-rights-reserved"][1] == 1.0 and hits["rights-reserved"][1] == 1.0
+
+
 def test_alignment_is_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(300):
