@@ -90,6 +90,15 @@ def ledger_budget(spark, sf_dir):
     return c.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("allocated_seconds", 3).alias("allocated_seconds"), "recovered", F.round("cumulative_seconds", 3).alias("cumulative_seconds"), F.round("remaining_seconds", 3).alias("remaining_seconds"), "over")
 
 
+@register("event_sessions", """SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round((epoch_us(coalesce(ended, heartbeat + INTERVAL 60 SECOND)) - epoch_us(started)) / 1e6::DOUBLE, 3) AS allocated_seconds, ended IS NULL AS recovered
+FROM (SELECT user_id, date_trunc('day', ts) AS day, min(ts) AS started, max(ts) AS heartbeat, max(CASE WHEN event_id % 7 = 0 THEN ts END) AS ended FROM events GROUP BY ALL)""")
+def event_sessions(spark, sf_dir):
+    """Sessions by user and day from an event log in which every seventh event is an end."""
+    e = table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), "ts", F.when(F.col("event_id") % 7 == 0, "end").otherwise("beat").alias("event"))
+    a = ledger.allocated(ledger.sessions_of(e, ["user_id", "day"], "ts"))
+    return a.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("allocated_seconds", 3).alias("allocated_seconds"), "recovered")
+
+
 @register("moving_rate", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS recent FROM events""")
 def moving_rate(spark, sf_dir):
     """W7."""

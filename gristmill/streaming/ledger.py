@@ -1,18 +1,18 @@
-"""Sessions against a ceiling, stage logs and gates."""
+"""An event log, the sessions in it against a ceiling, and gates."""
 
 from __future__ import annotations
 
 import hashlib
-import json
+import time
+import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.sources.jsonl import write_json
+from gristmill.sources.jsonl import canonical_text, write_json
 
 RECOVERY_SECONDS = 60.0
 
@@ -49,78 +49,72 @@ class BudgetStop(RuntimeError):
     """Raised where the projected total passes the ceiling."""
 
 
-class Ledger:
-    """Allocated time across runs, kept in one JSON file; sessions that ended without a word are closed at the next start."""
+class EventLog:
+    """An append-only file of JSON lines, a line for each event; nothing that is written is changed."""
 
-    def __init__(self, path: Path, ceiling_seconds: float, clock: Callable[[], float] | None = None) -> None:
-        self.path, self.ceiling, self.session = path, float(ceiling_seconds), None
-        self.clock = clock or (lambda: datetime.now(timezone.utc).timestamp())
+    SCHEMA = "id string, at double, stage string, event string, session string, details map<string, string>"
 
-    def _load(self) -> dict:
+    def __init__(self, path: Path, clock: Callable[[], float] = time.time) -> None:
+        self.path, self.clock = path, clock
+
+    def write(self, stage: str, event: str, session: str | None = None, **details: object) -> dict:
+        row = {"id": uuid.uuid4().hex, "at": self.clock(), "stage": stage, "event": event, "session": session, "details": {k: str(v) for k, v in details.items()}}
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        with self.path.open("a", encoding="utf-8") as lines:
+            lines.write(canonical_text(row) + "\n")
+        return row
+
+    def read(self, spark: SparkSession) -> DataFrame:
         if not self.path.exists():
-            return {"schema_version": 1, "hard_ceiling_seconds": self.ceiling, "closed_seconds": 0.0, "sessions": []}
-        book = json.loads(self.path.read_text("utf-8"))
-        if book["hard_ceiling_seconds"] != self.ceiling:
-            raise RuntimeError("the ceiling differs from the stored one")
-        return book
+            return spark.createDataFrame([], self.SCHEMA)
+        return spark.read.schema(self.SCHEMA).json(str(self.path))
 
-    def _own(self, book: dict) -> dict:
-        if self.session is None:
-            raise RuntimeError("no session has begun")
-        return next(s for s in book["sessions"] if s["session_id"] == self.session)
-
-    def begin(self, stage: str) -> dict:
-        book, now = self._load(), self.clock()
-        for s in book["sessions"]:
-            if s["status"] == "active":
-                end = s["heartbeat"] + RECOVERY_SECONDS
-                seconds = max(0.0, end - s["started"])
-                s |= {"status": "recovered", "ended": end, "allocated_seconds": seconds}
-                book["closed_seconds"] += seconds
-        self.session = hashlib.sha256(f"{now}|{stage}|{len(book['sessions'])}".encode()).hexdigest()[:20]
-        book["sessions"].append({"session_id": self.session, "stage": stage, "started": now, "heartbeat": now, "status": "active"})
-        write_json(self.path, book)
-        return book
-
-    def heartbeat(self, stage: str, projected_seconds: float = 0.0) -> float:
-        book = self._load()
-        own = self._own(book)
-        own |= {"heartbeat": self.clock(), "stage": stage}
-        total = book["closed_seconds"] + max(0.0, own["heartbeat"] - own["started"])
-        book |= {"cumulative_seconds": total, "remaining_seconds": max(0.0, self.ceiling - total)}
-        write_json(self.path, book)
-        if total + projected_seconds > self.ceiling:
-            raise BudgetStop(f"{total + projected_seconds:.1f} s pass the ceiling of {self.ceiling:.1f} s")
-        return total
-
-    def end(self, status: str, stage: str) -> dict:
-        book = self._load()
-        if self.session is None:
-            return book
-        own, now = self._own(book), self.clock()
-        seconds = max(0.0, now - own["started"])
-        own |= {"status": status, "stage": stage, "ended": now, "heartbeat": now, "allocated_seconds": seconds}
-        book["closed_seconds"] += seconds
-        book |= {"cumulative_seconds": book["closed_seconds"], "remaining_seconds": max(0.0, self.ceiling - book["closed_seconds"])}
-        write_json(self.path, book)
-        self.session = None
-        return book
 
+def sessions_of(events: DataFrame, by: list[str], at: str = "at") -> DataFrame:
+    """Of events with a kind in `event`, the sessions: when each started, was last heard of and, where it says `end`, ended."""
+    return events.groupBy(*by).agg(F.min(at).alias("started"), F.max(at).alias("heartbeat"), F.max(F.when(F.col("event") == "end", F.col(at))).alias("ended"))
 
-class StageLog:
-    """An append-only file of events, each with an id of its own."""
 
-    def __init__(self, path: Path) -> None:
-        self.path = path
+class Budget:
+    """The time that the sessions of an event log have used against a ceiling.
 
-    def write(self, stage: str, event: str, **details: object) -> dict:
-        now = datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
-        row = {"timestamp": now, "stage": stage, "event": event, "details": details}
-        row["event_id"] = hashlib.sha256(f"{now}|{stage}|{event}|{self.path.stat().st_size if self.path.exists() else 0}".encode()).hexdigest()[:20]
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        with self.path.open("a", encoding="utf-8") as f:
-            f.write(json.dumps(row, sort_keys=True, ensure_ascii=False) + "\n")
-        return row
+    Only events are stored. What is used is asked of them each time: a session without an end counts to its last event plus
+    the margin, this one to its last event.
+    """
+
+    def __init__(self, spark: SparkSession, log: EventLog, ceiling: float) -> None:
+        self.spark, self.log, self.ceiling, self.session = spark, log, float(ceiling), None
+
+    def used(self) -> float:
+        told = sessions_of(self.log.read(self.spark).where("session is not null"), ["session"])
+        current = told.withColumn("ended", F.when(F.col("session") == F.lit(self.session or ""), F.coalesce("ended", "heartbeat")).otherwise(F.col("ended")))
+        return allocated(current).agg(F.coalesce(F.sum("allocated_seconds"), F.lit(0.0)).alias("s")).first().s
+
+    def start(self, stage: str) -> float:
+        others = self.log.read(self.spark).where(F.col("details")["ceiling"] != str(self.ceiling))
+        if not others.isEmpty():
+            raise RuntimeError("the log has sessions under another ceiling")
+        self.session = uuid.uuid4().hex
+        self.log.write(stage, "start", self.session, ceiling=self.ceiling)
+        return self.used()
+
+    def beat(self, stage: str, projected: float = 0.0) -> float:
+        """What is used so far; stops the stage where that and what is projected pass the ceiling."""
+        self._tell(stage, "beat")
+        total = self.used() + projected
+        if total > self.ceiling:
+            raise BudgetStop(f"{total:.1f} s pass the ceiling of {self.ceiling:.1f} s")
+        return total - projected
+
+    def end(self, stage: str, status: str = "done") -> float:
+        self._tell(stage, "end", status=status)
+        self.session = None
+        return self.used()
+
+    def _tell(self, stage: str, event: str, **details: object) -> None:
+        if self.session is None:
+            raise RuntimeError("no session has started")
+        self.log.write(stage, event, self.session, **details)
 
 
 def gate(required: dict[Path, str], forbidden: list[Path] = ()) -> None:

@@ -284,23 +284,53 @@ def test_jsonl_hash(spark, tmp_path):
         jsonl.write_json_once(tmp_path / "m.json", {"a": 2})
 
 
-def test_ledger(tmp_path):
+def test_budget_over_an_event_log(spark, tmp_path):
     now = [1000.0]
-    book = ledger.Ledger(tmp_path / "l.json", 3600, lambda: now[0])
-    book.begin("test")
+    log = ledger.EventLog(tmp_path / "log.jsonl", lambda: now[0])
+    first = ledger.Budget(spark, log, 3600)
+    assert first.used() == 0 and first.start("test") == 0
     now[0] += 100
-    assert book.heartbeat("test") == 100
+    assert first.beat("test") == 100
     with pytest.raises(ledger.BudgetStop):
-        book.heartbeat("test", 4000)
-    other = ledger.Ledger(tmp_path / "l.json", 3600, lambda: now[0])
-    now[0] += 500
-    assert other.begin("again")["closed_seconds"] == 160
+        first.beat("test", 4000)
+    now[0] += 500  # the first never ends: it counts to its last word and the margin
+    second = ledger.Budget(spark, log, 3600)
+    assert second.start("again") == 160
     now[0] += 10
-    assert other.end("done", "again")["closed_seconds"] == 170
-    with pytest.raises(RuntimeError):
-        ledger.Ledger(tmp_path / "l.json", 1, lambda: now[0]).begin("x")
-    log = ledger.StageLog(tmp_path / "log.jsonl")
-    assert log.write("a", "b")["event_id"] != log.write("a", "b")["event_id"]
+    assert second.end("again") == 170
+    with pytest.raises(RuntimeError, match="no session"):
+        second.beat("again")
+    with pytest.raises(RuntimeError, match="ceiling"):
+        ledger.Budget(spark, log, 1).start("x")
+    lines = (tmp_path / "log.jsonl").read_text().splitlines()
+    log.write("a", "note", n=1)
+    assert (tmp_path / "log.jsonl").read_text().splitlines()[:-1] == lines and second.used() == 170
+    rows = log.read(spark).collect()
+    assert len({r.id for r in rows}) == len(rows) == 6 and rows[-1].details == {"n": "1"}
+
+
+def test_semantic_cuts_as_a_greedy_reader_does(spark):
+    """Sentences read one by one: a chunk is closed before a sentence that passes the size or is unlike the last one."""
+
+    random.seed(5)
+    text = " ".join(" ".join(random.choice("abcd") * 3 for _ in range(random.randint(1, 9))).capitalize() + "." for _ in range(120))
+    docs = spark.createDataFrame([(1, text), (2, "One."), (3, ""), (4, None)], "doc_id long, text string")
+    for size, least in ((20, 4), (12, 12), (3, 1)):
+        got = [r.text for r in chunking.semantic_chunks(docs.where("doc_id = 1"), size, 0.7, "s", least).orderBy("chunk_index").collect()]
+        parts = docs.where("doc_id = 1").select(T.sentences("text").alias("s")).first().s
+        want, held = [], []
+        for part in parts:
+            count = sum(len(p.split()) for p in held)
+            unlike = held and chunking.cosine(chunking.hashed_sentence_vector(held[-1]), chunking.hashed_sentence_vector(part)) < 0.7
+            if held and (count + len(part.split()) > size or (unlike and count >= least)):
+                want.append(" ".join(held))
+                held = []
+            held.append(part)
+        assert got == [*want, " ".join(held)]
+    assert chunking.semantic_chunks(docs.where("doc_id > 1"), 20, 0.7, "s").count() == 1
+
+
+def test_gates(tmp_path):
     with pytest.raises(RuntimeError):
         ledger.gate({tmp_path / "none": "0"})
     with pytest.raises(ValueError):
