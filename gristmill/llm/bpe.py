@@ -34,7 +34,7 @@ from gristmill.llm.common import as_bytes, map_arrow, read, schema_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHED = 100_000
 LONGEST = 100
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: White space as the Unicode property has it.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = {b: chr(0x100 + b) for b in range(256)}

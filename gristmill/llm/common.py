@@ -39,14 +39,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_ROWS = "2000"
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then does Spark drop broadcasts and shuffle files of steps gone by."""
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Bytes of a batch to Python: texts may be long, and a worker and the JVM hold a batch several times over.
+BATCH_BYTES = 1 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let batches to Python have BATCH_ROWS rows at most: texts are long, and a worker holds a batch several times over."""
-    if int(spark.conf.get(_ROWS)) > int(BATCH_ROWS):
-        spark.conf.set(_ROWS, BATCH_ROWS)
+    """Let batches to Python have about BATCH_BYTES at most.
+
+    Plans read this setting when they are made, after the operator has returned, so it stays; it is only ever lowered, and
+    changes no result.
+    """
+    own = spark.conf.get(_BYTES, None)
+    if not own or not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

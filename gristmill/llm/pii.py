@@ -214,11 +214,14 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs`, with all columns, each span of the text replaced by its kind in brackets; overlapping spans by the first's."""
-    model = fit(materialise(spans(docs), "pii"))
+    """`docs`, with all columns, each span of the text replaced by its kind in brackets; overlapping spans by the first's.
+
+    The rows are written with their spans, so that texts are searched once.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
-    own = _spans(own).withColumn("all", F.sort_array(F.concat("base", _added(model))))
+    found = materialise(_spans(own).select("row", "base", "candidates"), "pii")
+    own = found.withColumns({"text": F.coalesce(F.col("row.text").cast("string"), F.lit("")), "all": F.sort_array(F.concat("base", _added(fit(found))))})
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     clean = F.expr(f"""if(size(all) = 0, row.text, aggregate(all, struct('' as t, 0 as p),
       (a, x) -> if(x.e <= a.p, a, struct(concat(a.t, substring(text, a.p + 1, greatest(x.s - a.p, 0)), if(x.s >= a.p, element_at(array({names}), x.k + 1), '')) as t, x.e as p)),
