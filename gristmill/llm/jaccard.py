@@ -14,8 +14,11 @@ A document's set is its distinct k-word shingles, hashed to 64 bits.  Two sets l
    then in one component.  This is done again with other leaders in long lists that still hold several components, ROUNDS times
    in all.  Each set keeps its smallest verified leader as pivot with the overlap.
 4. What is left are lists that hold sets of different components.  Their sets are blocks by pivot.  An overlap of x and y
-   is at most |p & q| + |x - p| + |y - q| for pivots p and q: with the bound of the sketches whole blocks are skipped; then the
-   pivots are verified and, from that computed answer, the pairs of members below what is asked for are skipped too.
+   is at most |p & q| + |x - p| + |y - q| for pivots p and q: with the bound of the sketches, which the blocks carry, whole
+   blocks are skipped as lists are read, before a row is written; then the pivots are verified and, from that computed answer,
+   the pairs of members below what is asked for are skipped too.  Lists of more than MEMBERS blocks are dealt to several tasks.
+   Pivots that don't link, but share a frequent shingle of their prefixes and that sizes, positions and sketches can't tell
+   apart, are compared pair by pair: this part grows with the square of such pivots.
    Pairs inside a component are not needed for this: no link between components is lost.
 5. Components of all verified links.
 6. Links inside components are counted for each class: what the pivots' overlaps settle is counted by groups of members, so that
@@ -27,7 +30,8 @@ executors.  Their lists are dealt out by set as well, so that no task gets a who
 
 Edge cases: null and empty texts and those without words have an empty set and are linked with nothing (component: the id
 itself); a text of fewer than k words is one shingle; a null id takes part only through the documents with an equal set
-and has a null component where those have none either; equal rows get equal rows; an empty table gives an empty result;
+and has a null component where those have none either; equal rows get equal rows; an id that stands for different texts has a
+row for each, and they link only if the texts do; an empty table gives an empty result;
 further columns are left out.
 """
 
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import as_bytes, map_arrow, materialise, read, schema_of
+from gristmill.llm.common import as_bytes, documents, map_arrow, materialise, read, schema_of, tidy
 from gristmill.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -283,6 +287,7 @@ def _by_leaders(docs: DataFrame, lists: DataFrame, sketches: DataFrame, k: int,
         found = materialise(verify(docs, _alike(pairs, sketches, percent), k), "verified")
         verified = found if verified is None else verified.unionByName(found)
         within = components(verified.where(_links(percent)).select("x", "y"), None if number == ROUNDS - 1 else 1)
+        tidy(docs.sparkSession)
     return verified, within
 
 
@@ -308,6 +313,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
         more = _across(docs, left, verified, sketches, k, percent)
         links = links.unionByName(more)
         within = components(links)
+        tidy(docs.sparkSession)
     return sets, classes, within, verified, sketches
 
 
@@ -316,13 +322,43 @@ def _output(sets: DataFrame, classes: DataFrame, within: DataFrame) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+def _clashes(docs: DataFrame) -> bool:
+    """Whether an id stands for different texts."""
+    ids = documents(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    return not ids.where("low < high").isEmpty()
+
+
+def _by_content(docs: DataFrame, join, k: int, percent: int) -> DataFrame:
+    """The answer of `join` where ids stand for different texts: rows go by a key of id and text, and their components and
+    classes are named by the smallest id in them again."""
+    keyed = documents(docs).select(F.col("doc_id").alias("own"), _key("doc_id", "text").alias("doc_id"), "text")
+    out = materialise(join(keyed.select("doc_id", "text"), k, percent).join(keyed.select("doc_id", "own").distinct(), "doc_id"), "by-content")
+    named = {c: out.groupBy(c).agg(F.min("own").alias(f"{c}_named")) for c in ("component_id", "class_id")}
+    back = out
+    for c, names in named.items():
+        back = back.join(names, c)
+    return back.select(F.col("own").alias("doc_id"), *[F.col(f"{c}_named").alias(c) if c in named else F.col(c) for c in out.columns if c not in ("doc_id", "own")], F.col("doc_id").alias("key"))
+
+
+def _key(doc_id, text):
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: its set's size, its class and its component."""
-    return _output(*_joined(docs, k, percent)[:3]).drop("copies")
+    return _by_content(docs, _components, k, percent).drop("key") if _clashes(docs) else _components(docs, k, percent)
 
 
 def join_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`join_components` with n_links, the number of other documents that a document links with, equal ones and all others."""
+    return _by_content(docs, _links_too, k, percent).drop("key") if _clashes(docs) else _links_too(docs, k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    return _output(*_joined(docs, k, percent)[:3]).drop("copies")
+
+
+def _links_too(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets, classes, within, verified, sketches = _joined(docs, k, percent)
     out = materialise(_output(sets, classes, within), "joined")
     sizes = out.where("n_shingles > 0 and class_id is not null").groupBy(F.col("class_id").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies"))
@@ -377,14 +413,22 @@ def _near(docs: DataFrame, within: DataFrame, sizes: DataFrame, verified: DataFr
 def _across(docs: DataFrame, left: DataFrame, verified: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (x, y) between different components, from the lists that hold more than one."""
     blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("beyond").alias("beyond"), ((F.min("id") == F.col("pivot")) & (F.max("id") == F.col("pivot"))).alias("alone"))
-    a, b = (blocks.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "label", "least", "most", "pos", "beyond", "alone")]) for side in "ab")
-    near = a.join(b, "token").where(
+    blocks = materialise(blocks.join(sketches.select(F.col("id").alias("pivot"), F.col("n").alias("size"), "sketch"), "pivot"), "pivot-blocks")
+    parts = blocks.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = blocks.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("pivot"), F.col("parts")).cast("int"))
+    columns = ("pivot", "label", "least", "most", "pos", "beyond", "alone", "size", "sketch")
+    a, b = (dealt.select("token", "own", "parts", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+    a = a.withColumnRenamed("own", "part").drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("own", "parts")
+    apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(SKETCH // 64))
+    near = a.join(b, ["token", "part"]).where(
         f"a_label < b_label and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least"
         f" and least(a_most - a_pos, b_most - b_pos) * {100 + percent} >= {percent} * (a_least + b_least)"
+        f" and (a_size + b_size - ({apart}) + 2 * (a_beyond + b_beyond)) * {100 + percent} >= {2 * percent} * (a_least + b_least)"
     )
-    near = materialise(near.select("token", F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"), (F.col("a_alone") & F.col("b_alone")).alias("alone"), *[F.col(f"b_{c}").alias(f"y_{c}") for c in ("least", "most", "pos", "beyond")]), "blocks")
-    asked = near.groupBy("x", "y").agg(F.max("beyond").alias("beyond"), F.min("sizes").alias("sizes"))
-    asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes"), "asked-blocks")
+    pair = [F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"), (F.col("a_alone") & F.col("b_alone")).alias("alone")]
+    near = materialise(near.select("token", *pair, *[F.col(f"b_{c}").alias(f"y_{c}") for c in ("least", "most", "pos", "beyond")]), "blocks")
+    asked = materialise(near.select("x", "y").distinct(), "asked-blocks")
     known = _either_way(verified)
     new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k)
     answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "x_n", "y_n", "overlap").unionByName(new), "answers")
@@ -402,15 +446,26 @@ def _across(docs: DataFrame, left: DataFrame, verified: DataFrame, sketches: Dat
 
 
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """`docs`, with all columns, of each component only the document of the smallest id; null ids stay."""
-    gone = materialise(join_components(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    """`docs`, with all columns, of each component only the document of the smallest id; null ids stay.
+
+    Rows that repeat an id with an equal text are one document. Where ids stand for different texts, each text is judged on
+    its own; of two that link under one id that of the smaller key stays.
+    """
+    if _clashes(docs):
+        told = materialise(_by_content(docs, _components, k, percent), "told")
+        first = told.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+        gone = told.where("n_shingles > 0").join(first, "component_id").where("doc_id is not null and key <> first.key").select(F.col("key").alias("__gone")).distinct()
+        mine = _key("doc_id", "text")
+    else:
+        gone = _components(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+        mine = F.col("doc_id").cast("long")
+    gone = materialise(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not ids.isEmpty():  # rows that came with the same id
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    kept = docs.withColumn("__key", mine).join(gone, F.col("__key") == F.col("__gone"), "left_anti").withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that came with the same id
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir):
