@@ -222,7 +222,7 @@ def plain_windows(text, item, holders, total, k=5):
     sh = lambda x: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)] if len(x) >= n else []
     a, b = sh(w), Counter(sh(v))
     size, best = min(sum(b.values()), len(a)), 0.0
-    weight = lambda s: math.log1p(total / holders.get(s, 1))
+    weight = lambda s: math.log1p(total / (holders.get(s, 1) if s in b else 1))
     for i in range(len(a) - size + 1):
         c = Counter(a[i : i + size])
         keys = c.keys() | b.keys()
@@ -262,13 +262,49 @@ def test_decontamination(spark, nothing):
 
 def test_all_fingerprints_within_radius():
     rng = np.random.default_rng(2)
-    items = [(i, " ".join("v%d" % x for x in rng.integers(0, 99, 30)).encode()) for i in range(30)]
-    index = decontamination.Index(items, 5, decontamination.RADIUS, {}, 30)
-    for i in range(30):
-        flips = rng.random((200, 64)) < rng.random((200, 1)) * 0.5
-        prints = index.prints[i] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8").ravel()
-        away = np.bitwise_count(prints ^ index.prints[i])
-        assert (index.near(prints, i)[away <= decontamination.RADIUS] == away[away <= decontamination.RADIUS]).all()
+    prints = rng.integers(0, 1 << 64, 50, np.uint64)
+    index = decontamination.Blocks(prints, decontamination.RADIUS)
+    flips = rng.random((2000, 64)) < rng.random((2000, 1)) * 0.5
+    asked = prints[rng.integers(0, 50, 2000)] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8").ravel()
+    away = np.bitwise_count(asked[:, None] ^ prints[None, :])
+    want = {(w, i, away[w, i]) for w, i in zip(*np.nonzero(away <= decontamination.RADIUS))}
+    assert want and set(zip(*index.near(asked))) == want
+
+
+def test_items_come_from_the_blocks_alone(spark, monkeypatch):
+    words = " ".join(f"v{i}" for i in range(30))
+    b, d = spark.createDataFrame([(1, words)], "item_id long, text string"), spark.createDataFrame([(5, "x y " + words + " z")], "doc_id long, text string")
+    assert decontamination.contaminated(d, b).count() == 1
+    assert decontamination.contaminated(d, b, radius=-8).count() == 0  # a table without any neighbour
+
+
+def test_item_blocks_do_not_change_answers(spark, monkeypatch):
+    """Items that share long runs, so that their shingles have several holders, and windows around the threshold."""
+    rng = np.random.default_rng(21)
+    word = lambda: "w%d" % rng.integers(0, 400)
+    common = [word() for _ in range(25)]
+    items = [(i, " ".join([*common[: rng.integers(5, 25)], *(word() for _ in range(rng.integers(10, 40)))])) for i in range(14)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        for c in range(4):
+            v = list(w)
+            for _ in range(c):
+                v[rng.integers(0, len(v))] = word()
+            texts.append((100 * c + i, " ".join([*(word() for _ in range(30)), *v, *(word() for _ in range(9))])))
+    texts += [(900, items[0][1]), (900, items[0][1]), (901, " ".join(common) * 3)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    one = sorted(decontamination.contaminated(d, b).collect())
+    kept = sorted(decontamination.drop_contaminated(d, b).collect())
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 3)
+    assert sorted(decontamination.contaminated(d, b).collect()) == one and one
+    assert sorted(decontamination.drop_contaminated(d, b).collect()) == kept
+    holders = Counter()
+    for _, t in items:
+        v = licenses.words_of(t.encode())
+        holders.update({tuple(v[i : i + 5]) for i in range(len(v) - 4)})
+    want = {(x, i): s for x, t in texts for i, item in items if (s := plain_windows(t, item, holders, len(items))) >= 0.8}
+    assert {(r.doc_id, r.item_id) for r in one} == want.keys()
 
 
 # ---- 3
