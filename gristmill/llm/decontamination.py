@@ -118,6 +118,7 @@ class Index:
         self.unknown = math.log1p(total)
         self.groups: dict[int, dict[int, tuple[list[Item], Blocks]]] = defaultdict(dict)
         self.filters: dict[int, np.ndarray] = {}
+        self.known: dict[int, np.ndarray] = {}
         held: dict[tuple[int, int], list[tuple[Item, np.ndarray]]] = defaultdict(list)
         cache = Words()
         for item, text in items:
@@ -131,9 +132,10 @@ class Index:
         for (n, size), group in sorted(held.items()):
             prints = pack(np.array([signs(s).sum(0) for _, s in group]))
             self.groups[n][size] = [own for own, _ in group], Blocks(prints, radius)
-            known = self.filters.setdefault(n, np.zeros(1 << 20, bool))
-            for _, s in group:
-                known[(s >> np.uint64(44)).astype(np.int64)] = True
+            self.known[n] = np.unique(np.concatenate([self.known.get(n, np.empty(0, np.uint64)), *(s for _, s in group)]))
+        for n, known in self.known.items():
+            self.filters[n] = np.zeros(1 << 20, bool)
+            self.filters[n][(known >> np.uint64(44)).astype(np.int64)] = True
 
     def similarity(self, window: np.ndarray, item: Item) -> float:
         low, high = 0.0, item.total
@@ -151,6 +153,8 @@ class Index:
                 continue
             s = shingles(words, n, cache)
             hits = np.nonzero(self.filters[n][(s >> np.uint64(44)).astype(np.int64)])[0]
+            known = self.known[n]
+            hits = hits[known[np.minimum(np.searchsorted(known, s[hits]), len(known) - 1)] == s[hits]]
             if not len(hits):
                 continue
             best: dict[int, tuple[float, int, int, Item]] = {}

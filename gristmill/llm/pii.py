@@ -4,10 +4,12 @@ Fixed patterns give the base spans, which always stay.  Wider generators propose
 and bracketed e-mail forms with letters of any script, eight-part addresses and four-part ones of any size, numbers of 12 to 19
 digits in any grouping, numbers of 9 to 15 digits without a plus.  Each candidate has yes-or-no features of its format and of the
 words around it, none of which repeats what the base patterns test for (the plus, the check digit, the top of 255).
-A candidate counts as true where it is a base span of its kind.  True and false candidates are counted by kind and
-feature set, over all documents: at most 4 x 2^10 rows, from which boosted trees of depth two are fitted for each kind.
-Scores are calibrated by pooling neighbours until the share of true candidates falls with the score; candidates of a
-share of PRECISION or more that don't overlap a base span are added.
+A candidate counts as true where it overlaps a base span of its kind; the forms that no base pattern can meet (e-mails without
+an @, eight-part addresses) are learned from FIXTURE, a few marked sentences, and from nothing else.
+True and false candidates are counted by kind and feature set, over all documents: at most 4 x 2^10 rows.  From those
+boosted trees of depth two are fitted for each kind, and scores are calibrated, on the same counts, by pooling
+neighbours until the share of true candidates falls with the score.  Candidates of a share of PRECISION or more are added: those
+that don't overlap a base span, and e-mails that hold one whole and more, such as a name with other letters before it.
 
 Positions come from the texts between and in the matches: a match starts after the lengths of all before it.
 
@@ -45,6 +47,20 @@ OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 AROUND = 24
 WORDS = {"email": "mail|contact|reach|write", "ip": "ip|addr|host|server", "card": "card|visa|master|amex|credit|pay", "phone": "tel|phone|call|fax|mobile|cell"}
 PRECISION, ROUNDS, RATE = 0.95, 30, 0.3
+#: Sentences of one candidate each: of the first of every pair of lists it is personal data, of the second it isn't.
+FIXTURE = {
+    "email": (
+        ["write to anna [at] example [dot] com please", "contact: j.smith(at)mail.example.org", "mail me: bob [at] host.net, thanks", "reach sales [at] shop.example.com today", "contact maria.lopez [at] correo [dot] es", "mail info(at)firma.de or call", "write: k.novak(at)posta.cz soon", "reach us, desk [at] help.example.io now"],
+        ["we met (at) noon.then we left", "sold (at) auction.house rules hold", "it is open (at) nine.five days", "priced [at] cost.plus two", "look (at) page.three of it", "they left (at) gate.b then", "he stood [at] ease.so did she", "held (at) dusk.no one came"],
+    ),
+    "ip": (
+        ["host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", "addr fe80:0:0:0:202:b3ff:fe1e:8329", "server 2001:db8:0:1:1:1:1:1 answered", "the ip 2001:0db8:0:0:0:0:0:1 of it", "from host fd00:1:2:3:4:5:6:7", "addr: abcd:ef01:2345:6789:abcd:ef01:2345:6789", "ip 1:2:3:4:5:6:7:8 is up", "server 10:20:30:40:50:60:70:80 fell"],
+        ["it rang 10:20:30:40:50:60:70:80 so", "a ratio 1:2:3:4:5:6:7:8 of parts", "steps 1:1:2:3:5:8:13:21 follow", "scores 3:2:4:1:0:2:3:1 so far", "bits dead:beef:dead:beef:dead:beef:dead:beef repeat", "a key ab12:cd34:ef56:ab78:cd90:ef12:ab34:cd56 here", "times 0:0:0:0:0:0:0:1 each", "sum 2001:1999:1998:1997:1996:1995:1994:1993 by year"],
+    ),
+}
+FIXTURE_WEIGHT = 50
+#: Candidates that no base pattern can meet: x.bits has the form's first bit unset, or set.
+UNJUDGED = "(c.k = 0 and c.bits & 1 = 0) or (c.k = 1 and c.bits & 1 = 1)"
 
 
 def _sql(pattern: str) -> str:
@@ -101,7 +117,7 @@ def _bits(kind: str) -> str:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, candidates): base array<struct<s, k, e>>, candidates array<struct<k, s, e, bits, hit, held>>: hit is an overlap
-    with a base span of the kind, held one of any kind."""
+    with a base span of the kind, held one with any that the candidate may not add to."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return _spans(d).select("doc_id", "base", "candidates")
 
@@ -111,30 +127,38 @@ def _spans(d: DataFrame) -> DataFrame:
         d = d.withColumn(f"base_{kind}", F.expr(f"transform(filter({_matches(BASE[kind], GUARD[kind])}, x -> {VALID[kind]}), x -> struct(x.s as s, {k} as k, x.e as e))"))
     d = d.withColumn("base", F.sort_array(F.concat(*[f"base_{k}" for k in KINDS])))
     for k, kind in enumerate(KINDS):
-        d = d.withColumn(f"wide_{kind}", F.expr(f"transform({_matches(WIDE[kind], GUARD[kind])}, x -> struct({k} as k, x.s as s, x.e as e, {_bits(kind)} as bits, exists(base_{kind}, b -> b.s < x.e and x.s < b.e) as hit, exists(base, b -> b.s < x.e and x.s < b.e) as held))"))
+        d = d.withColumn(f"wide_{kind}", F.expr(f"transform({_matches(WIDE[kind], GUARD[kind])}, x -> struct({k} as k, x.s as s, x.e as e, {_bits(kind)} as bits, exists(base_{kind}, b -> b.s < x.e and x.s < b.e) as hit, exists(base, b -> b.s < x.e and x.s < b.e and not ({k} = 0 and b.k = 0 and x.s <= b.s and b.e <= x.e)) as held))"))
     return d.withColumn("candidates", F.concat(*[f"wide_{k}" for k in KINDS]))
 
 
+def _counts(found: DataFrame) -> list[tuple[int, int, float, float]]:
+    """(kind, feature set, candidates, true ones) of the documents and the fixture."""
+    rows = found.select(F.explode("candidates").alias("c")).where(f"not ({UNJUDGED})")
+    out = [(r.k, r.bits, float(r.n), float(r.y)) for r in rows.groupBy("c.k", "c.bits").agg(F.count("*").alias("n"), F.sum(F.col("c.hit").cast("long")).alias("y")).collect()]
+    marked = [(k, y, text) for k, kind in enumerate(KINDS) for y, texts in zip((1, 0), FIXTURE.get(kind, ())) for text in texts]
+    told = _spans(found.sparkSession.createDataFrame(marked, "kind int, y int, text string")).select("kind", "y", F.explode("candidates").alias("c")).where("c.k = kind")
+    return out + [(r.kind, r.c.bits, float(FIXTURE_WEIGHT), float(FIXTURE_WEIGHT * r.y)) for r in told.collect()]
+
+
+def _total(rows) -> list[tuple[int, float, float]]:
+    sums: dict[int, list[float]] = {}
+    for bits, n, y in rows:
+        own = sums.setdefault(bits, [0.0, 0.0])
+        own[0], own[1] = own[0] + n, own[1] + y
+    return [(bits, n, y) for bits, (n, y) in sorted(sums.items())]
+
+
 def fit(found: DataFrame) -> dict[int, tuple[list[tuple], float]]:
     """By kind: trees (bit, bit if it is set, bit if not, four leaves) and the threshold; kinds that can't be learned are left out."""
-    rows = found.select(F.explode("candidates").alias("c")).groupBy("c.k", "c.bits").agg(F.count("*").alias("n"), F.sum(F.col("c.hit").cast("long")).alias("y")).collect()
+    rows = _counts(found)
     out = {}
     for k in range(len(KINDS)):
-        data = sorted((r.bits, float(r.n), float(r.y)) for r in rows if r.k == k)
+        data = _total((bits, n, y) for kind, bits, n, y in rows if kind == k)
         pos, n = sum(y for _, _, y in data), sum(n for _, n, _ in data)
         if not data or pos == 0 or pos == n:
             continue
-        score = {bits: math.log(pos / (n - pos)) for bits, _, _ in data}
-        trees: list[tuple] = [(-1, -1, -1, math.log(pos / (n - pos)), 0.0, 0.0, 0.0)]
-        for _ in range(ROUNDS):
-            grad = {}
-            for bits, m, y in data:
-                p = 1 / (1 + math.exp(-score[bits]))
-                grad[bits] = (y - m * p, m * p * (1 - p))
-            tree = _tree(grad)
-            trees.append(tree)
-            for bits in score:
-                score[bits] += _leaf(tree, bits)
+        trees = _boost(data, pos, n)
+        score = {bits: sum(_leaf(tree, bits) for tree in trees) for bits, _, _ in data}
         blocks: list[list[float]] = []  # score, candidates, true ones; pooled so that the share of true ones falls with the score
         for bits, m, y in sorted(data, key=lambda d: (-score[d[0]], d[0])):
             blocks.append([score[bits], m, y])
@@ -147,6 +171,22 @@ def fit(found: DataFrame) -> dict[int, tuple[list[tuple], float]]:
     return out
 
 
+def _boost(data: list[tuple[int, float, float]], pos: float, n: float) -> list[tuple]:
+    start = math.log(pos / (n - pos))
+    score = {bits: start for bits, _, _ in data}
+    trees: list[tuple] = [(-1, -1, -1, start, 0.0, 0.0, 0.0)]
+    for _ in range(ROUNDS):
+        grad = {}
+        for bits, m, y in data:
+            p = 1 / (1 + math.exp(-score[bits]))
+            grad[bits] = (y - m * p, m * p * (1 - p))
+        tree = _tree(grad)
+        trees.append(tree)
+        for bits in score:
+            score[bits] += _leaf(tree, bits)
+    return trees
+
+
 def _gain(g: float, h: float) -> float:
     return g * g / (h + 1)
 
@@ -221,7 +261,7 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
     found = materialise(_spans(own).select("row", "base", "candidates"), "pii")
-    own = found.withColumns({"text": F.coalesce(F.col("row.text").cast("string"), F.lit("")), "all": F.sort_array(F.concat("base", _added(fit(found))))})
+    own = found.withColumns({"text": F.coalesce(F.col("row.text").cast("string"), F.lit("")), "all": F.sort_array(F.array_distinct(F.concat("base", _added(fit(found)))))})
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     clean = F.expr(f"""if(size(all) = 0, row.text, aggregate(all, struct('' as t, 0 as p),
       (a, x) -> if(x.e <= a.p, a, struct(concat(a.t, substring(text, a.p + 1, greatest(x.s - a.p, 0)), if(x.s >= a.p, element_at(array({names}), x.k + 1), '')) as t, x.e as p)),

@@ -1,11 +1,11 @@
 """Quality rules with host-level verdicts, in DataFrame and SQL functions alone.
 
-Each document is measured and tested by fixed rules.  Failures are then summed by host (`source`), each host's failure
-rate is shrunk towards the rate of all hosts by a beta prior fitted to the hosts by moments, and hosts whose shrunk
-rate is `reject_at` or more lose all their documents.
+Each document is measured and tested by fixed rules.  The failures of each rule are summed by host (`source`), and a host's
+failure rate of a rule is shrunk towards that of all hosts by the rule's own beta prior, fitted to the hosts by moments.  Hosts
+of which a shrunk rate is `reject_at` or more lose all their documents.
 
 Edge cases: a null or empty text has no words and fails; a null host is a host of its own; a single host, or hosts of
-equal rates, get the strongest prior; an empty table gives an empty result; repeated rows count each; further columns are left out.
+equal rates, get the strongest prior, so that none is rejected unless all fail; an empty table gives an empty result; repeated rows count each; further columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ element_at(transform(array(words), w -> if(size(w) < 4, 0L,
    struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n)), 1))), 1)
 """
 LINES = rf"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
+RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words"}
+REJECT_AT = 0.5
 MAX_HOSTS = 200_000
 SALTS = 64
 
@@ -43,19 +45,22 @@ def measure(docs: DataFrame) -> DataFrame:
         F.expr("cast(size(lines) - size(array_distinct(lines)) as long)").alias("n_dup_lines"),
         F.expr(REPEATED).alias("n_repeat_words"),
     )
-    return d.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    return d.withColumns({rule: F.expr(test) for rule, test in RULES.items()}).withColumn("base_failed", F.expr(" or ".join(RULES)))
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """(host, n, failed, rate): rate = (failed + a) / (n + a + b), the prior beta(a, b) fitted by moments."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    mean = hosts.agg(F.sum("n").alias("docs"), F.count("*").alias("hosts"), F.try_divide(F.sum("failed"), F.sum("n")).alias("m"))
-    spread = hosts.crossJoin(F.broadcast(mean)).agg(F.max("m").alias("m"), F.max("hosts").alias("hosts"), F.max("docs").alias("docs"), F.try_divide(F.sum(F.expr("n * pow(failed / n - m, 2)")), F.sum("n")).alias("v"))
-    prior = spread.select("m", F.expr("least(greatest(coalesce(try_divide(m * (1 - m), greatest(v - m * (1 - m) * hosts / docs, 0)) - 1, 10000), 1), 10000)").alias("strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", F.expr("(failed + m * strength) / (n + strength)").alias("rate"))
-
-
-def judge(docs: DataFrame, reject_at: float = 0.8) -> DataFrame:
+    """(host, n, a column for each rule's failures, rates, rate): of each rule (failed + a) / (n + a + b), the prior beta(a, b)
+    fitted by moments; `rate` is the highest."""
+    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
+    mean = hosts.agg(F.sum("n").alias("docs"), F.count("*").alias("hosts"), *[F.try_divide(F.sum(r), F.sum("n")).alias(f"m_{r}") for r in RULES])
+    spread = hosts.crossJoin(F.broadcast(mean)).agg(F.max("hosts").alias("hosts"), F.max("docs").alias("docs"), *[F.max(f"m_{r}").alias(f"m_{r}") for r in RULES], *[F.try_divide(F.sum(F.expr(f"n * pow({r} / n - m_{r}, 2)")), F.sum("n")).alias(f"v_{r}") for r in RULES])
+    strength = lambda r: F.expr("least(greatest(coalesce(try_divide(m_{0} * (1 - m_{0}), greatest(v_{0} - m_{0} * (1 - m_{0}) * hosts / docs, 0)) - 1, 10000), 1), 10000)".format(r))
+    prior = spread.select(*[F.col(f"m_{r}") for r in RULES], *[strength(r).alias(f"s_{r}") for r in RULES])
+    rated = hosts.crossJoin(F.broadcast(prior)).select("host", "n", *RULES, *[F.expr(f"({r} + m_{r} * s_{r}) / (n + s_{r})").alias(f"{r}_rate") for r in RULES])
+    return rated.withColumn("rate", F.greatest(*[f"{r}_rate" for r in RULES]))
+
+
+def judge(docs: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """A row for each document: its measures, the fixed rules' verdict, its host's shrunk failure rate and the final verdict.
 
     The measures are written once to the shared folder.  Up to MAX_HOSTS hosts are broadcast (a checked size); beyond
@@ -88,11 +93,12 @@ m AS (SELECT f.doc_id, host, len(w)::BIGINT AS n_words, length(regexp_replace(te
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM f LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM b GROUP BY host),
-a AS (SELECT sum(failed) / sum(n) AS m, count(*) AS hosts, sum(n) AS docs FROM h),
-v AS (SELECT max(m) AS m, max(hosts) AS hosts, max(docs) AS docs, sum(n * pow(failed / n - m, 2)) / sum(n) AS v FROM h, a),
-p AS (SELECT m, least(greatest(coalesce(m * (1 - m) / nullif(greatest(v - m * (1 - m) * hosts / docs, 0), 0) - 1, 10000), 1), 10000) AS s FROM v),
-r AS (SELECT host, (failed + m * s) / (n + s) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.8 AS kept, round(rate, 6) AS host_rate
+h AS (SELECT host, count(*)::DOUBLE AS n, sum((n_words < 50)::INT)::DOUBLE AS f1, sum((100 * n_repeat_words > 50 * n_words)::INT)::DOUBLE AS f2 FROM b GROUP BY host),
+a AS (SELECT sum(f1) / sum(n) AS m1, sum(f2) / sum(n) AS m2, count(*) AS hosts, sum(n) AS docs FROM h),
+v AS (SELECT max(m1) AS m1, max(m2) AS m2, max(hosts) AS hosts, max(docs) AS docs, sum(n * pow(f1 / n - m1, 2)) / sum(n) AS v1, sum(n * pow(f2 / n - m2, 2)) / sum(n) AS v2 FROM h, a),
+p AS (SELECT m1, m2, least(greatest(coalesce(m1 * (1 - m1) / nullif(greatest(v1 - m1 * (1 - m1) * hosts / docs, 0), 0) - 1, 10000), 1), 10000) AS s1,
+  least(greatest(coalesce(m2 * (1 - m2) / nullif(greatest(v2 - m2 * (1 - m2) * hosts / docs, 0), 0) - 1, 10000), 1), 10000) AS s2 FROM v),
+r AS (SELECT host, greatest((f1 + m1 * s1) / (n + s1), (f2 + m2 * s2) / (n + s2)) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept, round(rate, 6) AS host_rate
 FROM b JOIN r ON b.host IS NOT DISTINCT FROM r.host
 """

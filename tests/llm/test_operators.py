@@ -498,6 +498,18 @@ def test_method_adds_alike_spans(spark):
     assert got[1001].n_added == 0
 
 
+def test_forms_that_no_base_pattern_meets(spark):
+    """Other sentences than those of the fixture: seven with personal data, five without; and an e-mail of which the base has a part."""
+    true = ["please write to eva [at] firma [dot] com now", "contact me: k.lee(at)host.example.org", "reach p.ross [at] mail.net", "mail otto(at)haus.de", "host 2001:0db8:1:2:3:4:5:6 is up", "the ip abcd:0:0:0:0:0:0:1 fails", "addr fe80:0:0:0:1:2:3:4"]
+    false = ["she stayed (at) home.we went", "sat [at] table.four", "at 11:22:33:44:55:66:77:18 sharp", "odds 9:8:7:6:5:4:3:2 hold", "plain words alone"]
+    data = [*enumerate(true), *enumerate(false, 100), (200, "to jos\u00e9.p@x.com now"), (201, "a@b.co")]
+    got = by_id(pii.find(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sum(got[i].n_added == 1 for i in range(len(true))) == 7 and not any(got[100 + i].n_added for i in range(len(false)))
+    assert got[200].spans == "email:3:15,email:7:15" and got[200].n_email == 1 and got[200].n_added == 1
+    assert got[201].spans == "email:0:6"
+    assert pii.redact(spark.createDataFrame(data, "doc_id long, text string")).where("doc_id = 200").first().text == "to [EMAIL] now"
+
+
 def test_redaction(spark, docs):
     data = [(1, "mail a@b.co, ip 10.0.0.1."), (2, None), (3, "clean"), (4, "1.1.1.1@2.2.2.2 x")]
     out = pii.redact(spark.createDataFrame(data, "doc_id long, text string").withColumn("row", F.lit(1)))
