@@ -394,16 +394,23 @@ def _near(docs: DataFrame, within: DataFrame, sizes: DataFrame, verified: DataFr
     own = cells.select(F.col("pivot").alias("x"), F.col("pivot").alias("y"), (F.col("n") - F.col("beyond") + F.col("lost")).alias("overlap")).distinct()
     answers = answers.unionByName(answers.select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap")).unionByName(own)
 
-    a, b = (cells.select(*[F.col(c).alias(f"{side}_{c}") for c in (*cell, "w")]) for side in "ab")
+    # sure is a bound on a sum, a number of x and one of y: a pivot's members are counted by theirs, in at most twice as many
+    # steps as the pivot has shingles, and each number of x is looked up in the steps of every pivot around
+    need = F.expr(f"{100 + percent} * lost + {percent} * n").alias("need")
+    steps = cells.groupBy("pivot", need).agg(F.sum("w").alias("w"))
+    profiles = steps.groupBy(F.col("pivot").alias("y")).agg(F.collect_list(F.struct("need", "w")).alias("profile"))
+    looked = steps.select(F.col("pivot").alias("x"), "need").join(answers, "x").join(profiles, "y").withColumn("room", F.expr(f"overlap * {100 + percent} - need"))
+    held = F.expr("aggregate(profile, 0L, (w, p) -> w + if(p.need <= room, p.w, 0L))")
+    sure = looked.groupBy(F.col("x").alias("pivot"), "need").agg(F.sum(held).alias("w"), F.max(F.expr("x = y and need <= room")).alias("self"))
+    counted = members.withColumn("need", need).join(sure, ["pivot", "need"]).select("id", (F.col("w") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("near"))
+
+    a, b = (cells.select(*[F.col(c).alias(f"{side}_{c}") for c in cell]) for side in "ab")
     grid = a.join(answers, a["a_pivot"] == answers["x"]).join(b, answers["y"] == b["b_pivot"])
-    grid = grid.where(f"least(overlap + a_beyond + b_beyond, a_n, b_n) {asks} (a_n + b_n)").withColumn("sure", F.expr(f"(overlap - a_lost - b_lost) {asks} (a_n + b_n)"))
+    grid = grid.where(f"least(overlap + a_beyond + b_beyond, a_n, b_n) {asks} (a_n + b_n) and not (overlap - a_lost - b_lost) {asks} (a_n + b_n)")
     grid = materialise(grid.drop("x", "y", "overlap"), "grid")
-    same = " and ".join(f"a_{c} = b_{c}" for c in cell)
-    sure = grid.where("sure").groupBy(*[F.col(f"a_{c}").alias(c) for c in cell]).agg(F.sum("b_w").alias("w"), F.max(F.expr(same)).alias("self"))
-    counted = members.join(sure, cell).select("id", (F.col("w") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("near"))
 
     x, y = (members.select(F.col("id").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in cell]) for side, name in (("x", "a"), ("y", "b")))
-    pairs = grid.where("not sure").join(x, [f"a_{c}" for c in cell]).join(y, [f"b_{c}" for c in cell]).where("x < y").select("x", "y")
+    pairs = grid.join(x, [f"a_{c}" for c in cell]).join(y, [f"b_{c}" for c in cell]).where("x < y").select("x", "y")
     found = materialise(verify(docs, _alike(pairs, sketches, percent), k).where(_links(percent)), "inner").select("x", "y")
     found = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     found = found.join(sizes.select(F.col("id").alias("y"), "copies"), "y").select(F.col("x").alias("id"), F.col("copies").alias("near"))
