@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: it is computed once, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
