@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import bpe, brown, compression, decontamination, jaccard, lengths, licenses, pii, rules, sharding
+from gristmill.llm import ballkmeans, bpe, brown, compression, decontamination, jaccard, lengths, licenses, packing, pii, rules, sharding, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_class_language_model": brown.query,
     "op9_compression_classifier": compression.query,
     "op10_sharding": sharding.query,
+    "op11_packing": packing.query,
+    "op12_whitening": whitening.query,
+    "op13_ball_kmeans": ballkmeans.query,
 }
 ORACLES = {"op6_quality_rules": rules.ORACLE}
