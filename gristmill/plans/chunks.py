@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import chunking
+from gristmill.functions.tokens import from_file, token_count
+from gristmill.operators import chunking, subword
 from gristmill.plans.fragments import documents, fixed_cte
 from gristmill.plans.registry import register
 
@@ -76,3 +77,39 @@ def chunk_counts(spark, sf_dir):
     c = chunking.build_all(docs, chunking.SPECS[:2])
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
     return c.join(d, "doc_id").groupBy("chunker", "lang").agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("tokens"), F.max("token_count").alias("longest"))
+
+
+#: Of the queries by sub-words; any other file of the same kind can be given to the operators.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def tokenizer():
+    import public_tokenizers
+
+    return from_file(public_tokenizers.path(VOCABULARY))
+
+
+@register("subword_counts")
+def subword_counts(spark, sf_dir):
+    """C1."""
+    return documents(spark, sf_dir).select("doc_id", token_count("text", tokenizer()).alias("tokens"))
+
+
+@register("subword_sentence_counts")
+def subword_sentence_counts(spark, sf_dir):
+    """C8."""
+    c = subword.sentence_counts(documents(spark, sf_dir), tokenizer())
+    return c.select("doc_id", "position", F.md5("sentence").alias("sentence_md5"), "first", "continuation")
+
+
+def _subword(name: str, spec: dict) -> None:
+    def query(spark, sf_dir):
+        return _digest(subword.build_chunks(documents(spark, sf_dir), spec, tokenizer()))
+
+    query.__doc__ = f"C3-C7, C9, C12 by sub-words: {spec['name']}; held against plain Python in the tests."
+    register(f"subword_{name}")(query)
+
+
+for _spec in subword.SPECS:
+    _subword(_spec["name"], _spec)
+_subword("semantic_254", {"type": "semantic", "name": "semantic_254", "size": 254, "threshold": 0.2})
