@@ -6,7 +6,10 @@ Scores are rounded to DIGITS before they are ranked and ties go by chunk id, so
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill import importable
 from gristmill.functions.text import lexical_tokens
 
 # The lexical scorer's and the fusion's parameters.
@@ -37,61 +41,142 @@ def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Da
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """R2: (term, idf) of all terms and one row (n, avgdl).
+def _attach(df: DataFrame, few: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """`df` with the row of `few` of its key; `few` has one row for each key (or one in all) and is broadcast."""
+    return df.join(F.broadcast(few), list(by)) if by else df.crossJoin(F.broadcast(few))
+
+
+def bm25_statistics(chunks: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """R2: (term, idf) of all terms and one row (n, avgdl), for each key `by`, such as the chunker.
 
     A term held by more than half of the chunks has a negative raw idf; it gets EPSILON x the mean raw idf instead.
     """
-    tokens = chunks.select(lexical_tokens("text").alias("tokens"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    tokens = chunks.select(*by, lexical_tokens("text").alias("tokens"))
+    size = tokens.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    df = tokens.select(*by, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    raw = _attach(df, size.select(*by, "n"), by).select(*by, "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))  # a row for each key
+    idf = _attach(raw, mean, by).select(*by, "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return idf, size
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Every chunk scored, chunks without a query term at 0; a term repeated in the query counts each time.
-
-    Postings are cut to the terms that queries have before anything is summed. Chunks at 0 only fill a list that has
-    fewer than k others, so of those just the 2k smallest ids can be needed.
-    """
-    idf, size = bm25_statistics(chunks)
+def bm25_weights(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, times) and the postings (term, chunk_id, w) of the terms that queries have, for each key `by`."""
+    idf, size = bm25_statistics(chunks, by)
     asked = queries.select("query_id", F.explode(lexical_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     words = asked.select("term").distinct()
     terms = small(idf.join(small(words), "term", "left_semi"), like=words)  # else the exploded chunks might be taken for the smaller side
-    tokens = chunks.select("chunk_id", lexical_tokens("text").alias("tokens"))
-    postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = postings.join(terms, "term").groupBy("chunk_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
+    tokens = chunks.select(*by, "chunk_id", lexical_tokens("text").alias("tokens"))
+    postings = tokens.select(*by, "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    tf = postings.join(terms, [*by, "term"]).groupBy(*by, "chunk_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = tf.crossJoin(F.broadcast(size)).select("term", "chunk_id", weight.alias("w"))
-    scored = weighted.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), DIGITS).alias("score"))
-    smallest = chunks.select("chunk_id", "text").orderBy("chunk_id").limit(2 * k)
-    held = smallest.select("chunk_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term")).join(asked, "term").select("query_id", "chunk_id").distinct()
-    fill = queries.select("query_id").crossJoin(F.broadcast(smallest.select("chunk_id"))).join(held, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(scored.unionByName(fill), k).select("query_id", "chunk_id", "rank", "score")
+    return asked, _attach(tf, size, by).select(*by, "term", "chunk_id", weight.alias("w"))
+
+
+#: Postings, as a multiple of k, that a query's first look may read, and how far scores must lie apart to tell them apart.
+FIRST_LOOK, APART = 10, 1e-6
+
+
+def bm25_bounds(asked: DataFrame, weights: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, term, times, needed, least, rest) for each key `by`: what scoring may leave out.
+
+    A term adds between its smallest and its largest weight to a chunk. The terms that can add most, as long as their
+    postings are few, give a first score of some chunks; the k-th of these, less what other terms may take away, is a
+    score that k chunks reach (`least`). The terms that can add least, together less than that, aren't `needed`: no
+    chunk that has only them is among the k. `rest` is what they can add together.
+    """
+    unit = [*by, "query_id"]
+    ranges = weights.groupBy(*by, "term").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("high"), F.least(F.min("w"), F.lit(0.0)).alias("low"), F.count("*").alias("df"))
+    t = asked.join(small(ranges), "term").withColumns({"high": F.col("times") * F.col("high"), "low": F.col("times") * F.col("low")})
+    most_first = W.partitionBy(*unit).orderBy(F.desc("high"), "term")
+    before = F.coalesce(F.sum("df").over(most_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upward = W.partitionBy(*unit).orderBy("high", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumns({"first": before < FIRST_LOOK * k, "up_to": F.sum("high").over(upward)})
+    look = weights.join(small(t.where("first").select(*unit, "term", "times")), [*by, "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("s"))
+    place = F.row_number().over(W.partitionBy(*unit).orderBy(F.desc("s")))
+    kth = look.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select(*unit, "s")
+    lost = t.groupBy(*unit).agg(F.sum(F.when(~F.col("first"), F.col("low")).otherwise(0.0)).alias("lost"))
+    least = kth.join(lost, unit).select(*unit, (F.col("s") + F.col("lost") - APART).alias("least"))
+    t = t.join(least, unit, "left").withColumn("needed", F.coalesce(F.col("up_to") >= F.col("least"), F.lit(True)))
+    rest = F.sum(F.when(~F.col("needed"), F.col("high")).otherwise(0.0)).over(W.partitionBy(*unit))
+    return t.select(*unit, "term", "times", "needed", "least", rest.alias("rest"))
+
+
+def bm25_scored(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that can be among the k best of a query and shares a term with it.
+
+    Only postings of needed terms are summed for all chunks; what the other terms add is looked up for the chunks that
+    can still reach the k-th score with all of it.
+    """
+    asked, weights = bm25_weights(queries, chunks, by)
+    bounds = bm25_bounds(asked, weights, k, by)
+    unit = [*by, "query_id"]
+    needed = small(bounds.where("needed"), like=asked)
+    parts = weights.join(needed, [*by, "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("part"), F.max("least").alias("least"), F.max("rest").alias("rest"))
+    open_ = parts.where(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least"))).select(*unit, "chunk_id", "part")
+    others = small(bounds.where("not needed").select(*unit, "term", "times"), like=asked)
+    more = open_.select(*unit, "chunk_id").join(others, unit).join(weights, [*by, "chunk_id", "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("more"))
+    both = open_.join(more, [*unit, "chunk_id"], "left")
+    return both.select(*unit, "chunk_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("score"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best chunks, exactly; those without a query term are at 0; a term repeated in the query counts each time.
+
+    With `by`, each key (say, each chunker's chunks) has its own statistics and lists, all in one plan. Chunks at 0 only
+    fill a list that has fewer than k others, so of those just the 2k smallest ids can be needed.
+    """
+    scored = bm25_scored(queries, chunks, k, by)
+    numbered = chunks.select(*by, "chunk_id", "text")
+    if by:
+        numbered = numbered.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("chunk_id"))).where(F.col("_n") <= 2 * k).drop("_n")
+    else:
+        numbered = numbered.orderBy("chunk_id").limit(2 * k)
+    asked = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term"))
+    held = numbered.select(*by, "chunk_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term")).join(asked, "term").select(*by, "query_id", "chunk_id").distinct()
+    fill = queries.select("query_id").crossJoin(F.broadcast(numbered.select(*by, "chunk_id"))).join(held, [*by, "query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(scored.unionByName(fill), k, (*by, "query_id")).select(*by, "query_id", "chunk_id", "rank", "score")
+
+
+def bm25_work(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, summed, all_postings) for each key: postings that are summed for all chunks, of those that queries have."""
+    asked, weights = bm25_weights(queries, chunks, by)
+    bounds = bm25_bounds(asked, weights, k, by)
+    df = weights.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    t = bounds.join(df, [*by, "term"])
+    return t.groupBy(*by, "query_id").agg(F.sum(F.when(F.col("needed"), F.col("df")).otherwise(0)).alias("summed"), F.sum("df").alias("all_postings"))
+
+
+def crc_bucket(token: str, dimensions: int) -> int:
+    return zlib.crc32(token.encode()) % dimensions
 
 
-def hashed_vector(tokens: list[str], dimensions: int) -> np.ndarray:
-    """A stand-in text encoder: counts of tokens by the crc32 of their bytes modulo the dimensions, at unit length."""
+@lru_cache(1 << 16)
+def md5_bucket(token: str, dimensions: int) -> int:
+    """By the first four hex digits, which SQL can tell as well."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % dimensions
+
+
+def hashed_vector(tokens: list[str], dimensions: int, bucket: Callable[[str, int], int] = crc_bucket) -> np.ndarray:
+    """A stand-in text encoder: counts of tokens by their bucket, at unit length."""
     v = np.zeros(dimensions)
     for t in tokens:
-        v[zlib.crc32(t.encode()) % dimensions] += 1
+        v[bucket(t, dimensions)] += 1
     norm = float(np.sqrt((v * v).sum()))
     return v / norm if norm else v
 
 
-def with_hashed_vectors(rows: DataFrame, id_column: str, dimensions: int = 64) -> DataFrame:
-    """(id, vector array<double>) of (id, text)."""
-    own = rows.select(F.col(id_column).alias("id"), lexical_tokens("text").alias("tokens"))
-    kind = own.schema["id"].dataType.simpleString()
+def with_hashed_vectors(rows: DataFrame, id_column: str, dimensions: int = 64, by: tuple[str, ...] = (), bucket: Callable[[str, int], int] = crc_bucket) -> DataFrame:
+    """(id, vector array<double>) of (id, text), with the keys `by` beside them."""
+    importable(rows.sparkSession)
+    own = rows.select(*by, F.col(id_column).alias("id"), lexical_tokens("text").alias("tokens"))
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema if f.name != "tokens")
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "vector": [hashed_vector(t if t is not None else [], dimensions) for t in b["tokens"]]})
+            yield b[[*by, "id"]].assign(vector=[hashed_vector(t if t is not None else [], dimensions, bucket) for t in b["tokens"]])
 
-    return own.mapInPandas(run, f"id {kind}, vector array<double>").withColumnRenamed("id", id_column)
+    return own.mapInPandas(run, f"{keys}vector array<double>").withColumnRenamed("id", id_column)
 
 
 def normalised(c: Column | str) -> Column:
@@ -101,52 +186,77 @@ def normalised(c: Column | str) -> Column:
     return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
 
 
-QUERY_BLOCK = 4096
+#: Rows of a block of queries or vectors: a task multiplies one of each.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+
+
+def _blocks(rows: DataFrame, key: str, by: tuple[str, ...], size: int) -> DataFrame:
+    """(by, ids, values) with the vectors of up to `size` rows of a key in one array, from (by, key, vector)."""
+    importable(rows.sparkSession)
+    own = rows.select(*by, F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    kind = own.schema["id"].dataType.simpleString()
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.select(*by).schema)
+
+    def block(part):
+        return pd.DataFrame([[*part.iloc[0][list(by)], part["id"].tolist(), np.concatenate([*part["vector"], []])]], columns=[*by, "ids", "values"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            while n >= size:
+                rows_ = pd.concat(held, ignore_index=True)
+                yield from cut(rows_.iloc[:size])
+                held, n = [rows_.iloc[size:]], n - size
+        if n:
+            yield from cut(pd.concat(held, ignore_index=True))
+
+    def cut(rows_):
+        for part in [g for _, g in rows_.groupby(list(by), dropna=False)] if by else [rows_]:
+            if len(part):
+                yield block(part)
+
+    return own.mapInPandas(run, f"{keys}ids array<{kind}>, values array<double>")
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact maximum inner product. queries (query_id, vector), vectors (chunk_id, vector).
+def dense(queries: DataFrame, vectors: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact maximum inner product. queries (query_id, vector), vectors (chunk_id, vector), also with keys `by`.
 
-    The stated queries go out in blocks of QUERY_BLOCK, each multiplied with every batch of vectors; a batch gives at most k
-    rows a query, and the last cut is a window. Fewer vectors than k give fewer rows.
+    Stated queries and vectors stand in blocks of rows, so a join of blocks pairs matrices: vectors are read once, and a
+    pair of blocks gives at most k rows a query. The last cut is a window. Fewer vectors than k give fewer rows. Query
+    blocks are broadcast up to SMALL queries, else both sides' blocks are dealt out.
     """
-    ids = queries.select("query_id").schema["query_id"].dataType.simpleString()
-    chunk = vectors.select("chunk_id").schema["chunk_id"].dataType.simpleString()
-    asked = queries.select("query_id", "vector").toPandas()
-    own = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    spark = queries.sparkSession
-    parts = []
-    for start in range(0, max(1, len(asked)), QUERY_BLOCK):
-        block = asked.iloc[start : start + QUERY_BLOCK]
-        sent = spark.sparkContext.broadcast((block["query_id"].tolist(), np.array([np.asarray(v, float) for v in block["vector"]])))
-
-        def run(batches, sent=sent):
-            names, q = sent.value
-            for b in batches:
-                if not len(b) or not len(names):
-                    continue
-                b = b.sort_values("chunk_id")
-                s = np.round(np.stack(b["vector"].to_numpy()) @ q.T, DIGITS)
+    asked = _blocks(queries.select("query_id", "vector"), "query_id", (), QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("values").alias("asked"))
+    pairs = _blocks(vectors, "chunk_id", by, VECTOR_BLOCK).crossJoin(small(asked, like=queries))
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    element = lambda c: types[c].removeprefix("array<").removesuffix(">")
+
+    def run(batches):
+        for b in batches:
+            for row in b.itertuples(index=False):
+                ids, names = np.asarray(row.ids), np.asarray(row.query_ids)
+                order = np.argsort(ids, kind="stable")
+                v, q = np.asarray(row.values).reshape(len(ids), -1)[order], np.asarray(row.asked).reshape(len(names), -1)
+                s = np.round(v @ q.T, DIGITS)
                 take = np.argsort(-s, axis=0, kind="stable")[:k]
-                c = b["chunk_id"].to_numpy()
-                yield pd.DataFrame({"query_id": np.repeat(names, len(take)), "chunk_id": c[take.T.ravel()], "score": np.take_along_axis(s, take, 0).T.ravel()})
+                yield pd.DataFrame({**{c: [getattr(row, c)] * take.size for c in by}, "query_id": np.repeat(names, len(take)), "chunk_id": ids[order][take.T.ravel()], "score": np.take_along_axis(s, take, 0).T.ravel()})
 
-        parts.append(own.mapInPandas(run, f"query_id {ids}, chunk_id {chunk}, score double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return ranked(scored, k).select("query_id", "chunk_id", "rank", "score")
+    keys = "".join(f"{c} {types[c]}, " for c in by)
+    scored = pairs.mapInPandas(run, f"{keys}query_id {element('query_ids')}, chunk_id {element('ids')}, score double")
+    return ranked(scored, k, (*by, "query_id")).select(*by, "query_id", "chunk_id", "rank", "score")
 
 
-def fuse(lists: list[tuple[DataFrame, float]], k: int, constant: int = RRF_K) -> DataFrame:
+def fuse(lists: list[tuple[DataFrame, float]], k: int, constant: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
     """Sum of weight / (constant + rank); ties keep the order of first sight, list by list and rank by rank."""
-    parts = [d.select("query_id", "chunk_id", "rank", F.lit(i).alias("list"), (F.lit(w) / (constant + F.col("rank"))).alias("part")) for i, (d, w) in enumerate(lists)]
+    unit = [*by, "query_id"]
+    parts = [d.select(*unit, "chunk_id", "rank", F.lit(i).alias("list"), (F.lit(w) / (constant + F.col("rank"))).alias("part")) for i, (d, w) in enumerate(lists)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    scored = union.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "seen")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+    scored = union.groupBy(*unit, "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
+    order = W.partitionBy(*unit).orderBy(F.desc("score"), "seen")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*unit, "chunk_id", "rank", "score")
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int, pool: int = 20) -> DataFrame:
