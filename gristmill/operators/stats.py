@@ -1,27 +1,60 @@
 """Clustered statistics and selections.
 
-Randomness comes from md5 of (seed, draw, unit), so that any partitioning, and SQL, makes the same draws.
+Randomness comes from the md5 of (seed, unit), mixed with the number of the draw in 32-bit arithmetic, so that any
+partitioning, and SQL, makes the same draws.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.operators.retrieval import small
+from gristmill import importable
+
+
+#: The multipliers of a public 32-bit finaliser, and the step between draws.
+MIX_1, MIX_2, STEP, WORD = 2246822507, 3266489909, 2654435769, 1 << 32
+
+
+def keys(seed: int, unit: Column) -> tuple[Column, Column]:
+    """Two 32-bit numbers from the md5 of (seed, unit)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), unit.cast("string")))
+    return tuple(F.conv(F.substring(h, at, 8), 16, 10).cast("long") for at in (1, 9))
+
 
+def mixed(k1: Column, k2: Column, draw: Column) -> Column:
+    """A 32-bit number of (unit, draw), as `mixed_array` has it."""
 
-def _key(*parts) -> Column:
-    return F.md5(F.concat_ws("|", *[F.lit(str(p)) if not isinstance(p, Column) else p.cast("string") for p in parts]))
+    def times(x: Column, by: int) -> Column:  # in halves, so that a long holds the products
+        high = (F.shiftright(x, 16) * F.lit(by)).bitwiseAND(F.lit(0xFFFF))
+        return (F.shiftleft(high, 16) + x.bitwiseAND(F.lit(0xFFFF)) * F.lit(by)).bitwiseAND(F.lit(WORD - 1))
 
+    def mix(x: Column) -> Column:
+        x = times(x.bitwiseXOR(F.shiftright(x, 16)), MIX_1)
+        x = times(x.bitwiseXOR(F.shiftright(x, 13)), MIX_2)
+        return x.bitwiseXOR(F.shiftright(x, 16))
 
-def sign(seed: int, draw: Column, unit: Column) -> Column:
-    return F.when(F.substring(_key(seed, draw, unit), 1, 1) < "8", 1.0).otherwise(-1.0)
+    return mix(mix((k1 + draw * F.lit(STEP)).bitwiseAND(F.lit(WORD - 1))).bitwiseXOR(k2))
 
 
-def index(seed: int, draw: Column, unit: Column, n: Column) -> Column:
-    return F.conv(F.substring(_key(seed, draw, unit), 1, 8), 16, 10).cast("long") % n
+def mixed_array(k1: np.ndarray, k2: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """uint32 of every unit (rows) and draw (columns)."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIX_1)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(MIX_2)
+        x ^= x >> np.uint32(16)
+        return x
+
+    x = mix(k1.astype(np.uint32)[:, None] + draws.astype(np.uint32)[None, :] * np.uint32(STEP))
+    return mix(x ^ k2.astype(np.uint32)[:, None])
 
 
 def families(rows: DataFrame, value: str, family: str, domain: str | None = None) -> DataFrame:
@@ -30,32 +63,109 @@ def families(rows: DataFrame, value: str, family: str, domain: str | None = None
     return rows.groupBy(*by).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-def sign_flip_p(rows: DataFrame, value: str, family: str, draws: int, seed: int) -> DataFrame:
-    """Whole families change sign; p = (1 + draws as extreme as observed) / (draws + 1).
+#: Units and draws of a block of random numbers, and families whose sums go to every task.
+UNITS, DRAWS = 512, 2048
+HELD = 500_000
+
+
+def _summed(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """(draw, columns): arrays of blocks of draws, added up over the tasks."""
+    long = parts.select("first", F.posexplode(F.arrays_zip(*columns)).alias("at", "x"))
+    return long.groupBy((F.col("first") + F.col("at")).alias("draw")).agg(*[F.sum(f"x.{c}").alias(c) for c in columns])
 
-    The draws, a stated number, go to the families; every task sums its families by draw before the shuffle.
+
+def sign_flips(f: DataFrame, family: str, draws: int, seed: int) -> DataFrame:
+    """(draw, t): the sum of all families' sums under a random sign each; a number has the signs of 32 draws in its bits.
+
+    Every task multiplies its families' sums with blocks of the sign matrix, and sends one number for each draw.
     """
+    importable(f.sparkSession)
+    k1, k2 = keys(seed, F.col(family))
+    own = f.select(k1.alias("k1"), k2.alias("k2"), F.col("s").cast("double").alias("s")).repartition(f.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches):
+        total = np.zeros(-(-draws // DRAWS) * DRAWS)
+        for b in batches:
+            s = b["s"].fillna(0.0).to_numpy()
+            for u in range(0, len(b), UNITS):
+                part = s[u : u + UNITS]
+                for d in range(0, draws, DRAWS):
+                    words = mixed_array(b["k1"].to_numpy()[u : u + UNITS], b["k2"].to_numpy()[u : u + UNITS], np.arange(d // 32, (d + DRAWS) // 32))
+                    bits = np.unpackbits(words.astype("<u4").view(np.uint8), axis=1, bitorder="little")
+                    total[d : d + DRAWS] += part.sum() - 2 * (part @ bits.astype(np.float64))
+        if total.any():
+            yield pd.DataFrame([(d, total[d : min(d + DRAWS, draws)]) for d in range(0, draws, DRAWS)], columns=["first", "t"])
+
+    return _summed(own.mapInPandas(run, "first long, t array<double>"), ["t"])
+
+
+def sign_flip_p(rows: DataFrame, value: str, family: str, draws: int, seed: int) -> DataFrame:
+    """Whole families change sign; p = (1 + draws as extreme as observed) / (draws + 1)."""
     f = families(rows, value, family)
     total = f.agg(F.sum("s").alias("total"), F.sum("n").alias("docs"))
-    numbers = rows.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    # small in bytes, but each row becomes `draws` of them: all cores take part
-    spread = f.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    null = spread.crossJoin(F.broadcast(numbers)).groupBy("draw").agg(F.sum(F.col("s") * sign(seed, F.col("draw"), F.col(family))).alias("t"))
-    extreme = F.abs(F.round("t", 9)) >= F.abs(F.round("total", 9))
+    null = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).join(sign_flips(f, family, draws, seed), "draw", "left")
+    extreme = F.abs(F.round(F.coalesce("t", F.lit(0.0)), 9)) >= F.abs(F.round("total", 9))
     return null.crossJoin(F.broadcast(total)).agg(F.max(F.col("total") / F.col("docs")).alias("observed"), F.count("*").alias("draws"), ((F.sum(extreme.cast("long")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def numbered(f: DataFrame, family: str, domain: str) -> DataFrame:
+    """(domain, i, s, n, size): families of a domain numbered by the md5 of their name.
+
+    They are numbered within a bucket, the first digits of the md5, and moved by the families in the buckets before it,
+    so that no task holds a whole domain.
+    """
+    h = F.md5(F.coalesce(F.col(family).cast("string"), F.lit("null")))
+    b = f.select(F.col(domain).alias("domain"), F.col(family).alias("family"), h.alias("h"), F.substring(h, 1, 3).alias("bucket"), "s", "n")
+    counts = b.groupBy("domain", "bucket").agg(F.count("*").alias("own"))
+    up_to = W.partitionBy("domain").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("domain", "bucket", F.coalesce(F.sum("own").over(up_to), F.lit(0)).alias("before"), F.sum("own").over(W.partitionBy("domain")).alias("size"))
+    place = F.row_number().over(W.partitionBy("domain", "bucket").orderBy("h", "family")) - 1
+    return b.withColumn("place", place).join(counts, ["domain", "bucket"]).select("domain", (F.col("before") + F.col("place")).cast("long").alias("i"), "s", "n", "size")
+
+
 def bootstrap(rows: DataFrame, value: str, family: str, domain: str, draws: int, seed: int) -> DataFrame:
-    """(draw, mean): families are drawn with replacement within their domain; the mean is over the documents drawn."""
-    f = families(rows, value, family, domain)
-    count = f.groupBy(domain).agg(F.count("*").alias("size"))
-    placed = f.withColumn("i", (F.row_number().over(W.partitionBy(domain).orderBy(family)) - 1).cast("long")).join(F.broadcast(count), domain)
-    numbers = rows.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    # small in bytes, but each row becomes `draws` of them: all cores take part
-    slots = placed.select(domain, "size", F.col("i").alias("slot")).repartition(rows.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(numbers))
-    drawn = slots.select("draw", domain, index(seed, F.col("draw"), F.concat_ws(":", F.col(domain), F.col("slot").cast("string")), F.col("size")).alias("i"))
-    # families, where they are few enough, go to the draws: each task then sums its part of a draw before the shuffle
-    return drawn.join(small(placed.select(domain, "i", "s", "n")), [domain, "i"]).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    """(draw, mean): families are drawn with replacement within their domain; the mean is over the documents drawn.
+
+    Slot i of a domain draws family number `mixed` modulo the domain's families.  Up to HELD families their sums go to the
+    tasks, which draw for ranges of slots in blocks; beyond, every slot and draw is a row that is joined with its family.
+    """
+    f = numbered(families(rows, value, family, domain).where(F.col(domain).isNotNull()), family, domain)
+    if f.limit(HELD + 1).count() > HELD:
+        return _drawn_by_join(f, draws, seed)
+    spark = rows.sparkSession
+    importable(spark)
+    tasks = spark.sparkContext.defaultParallelism
+    held = f.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("i", "s", "n"))).alias("x"), F.max("size").alias("size"))
+    held = held.select("domain", "size", F.transform("x", lambda x: x["s"].cast("double")).alias("s"), F.transform("x", lambda x: x["n"].cast("double")).alias("n"))
+    step = F.greatest(F.lit(UNITS).cast("long"), F.ceil(F.col("size") / tasks))
+    ranges = held.select(F.col("domain"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)).alias("from"), step.alias("step")).repartition(4 * tasks, "domain", "from")
+    work = ranges.join(F.broadcast(held), "domain").select(F.col("domain").cast("string").alias("domain"), "from", F.least(F.col("from") + F.col("step"), "size").alias("to"), "size", "s", "n")
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                slots = [hashlib.md5(f"{seed}|{r.domain}:{i}".encode()).hexdigest() for i in range(int(r[1]), int(r.to))]
+                k1, k2 = (np.array([int(h[a : a + 8], 16) for h in slots], np.uint32) for a in (0, 8))
+                s, n, size = np.asarray(r.s), np.asarray(r.n), np.uint32(r.size)
+                for d in range(0, draws, DRAWS):
+                    numbers = np.arange(d, min(d + DRAWS, draws))
+                    sums, counts = np.zeros(len(numbers)), np.zeros(len(numbers))
+                    for u in range(0, len(slots), 64):
+                        at = mixed_array(k1[u : u + 64], k2[u : u + 64], numbers) % size
+                        sums += s[at].sum(0)
+                        counts += n[at].sum(0)
+                    yield pd.DataFrame([(d, sums, counts)], columns=["first", "s", "n"])
+
+    drawn = work.mapInPandas(run, "first long, s array<double>, n array<double>")
+    return _summed(drawn, ["s", "n"]).select("draw", (F.col("s") / F.col("n")).alias("mean"))
+
+
+def _drawn_by_join(f: DataFrame, draws: int, seed: int) -> DataFrame:
+    numbers = f.sparkSession.range(draws).select(F.col("id").alias("draw"))
+    k1, k2 = keys(seed, F.concat_ws(":", F.col("domain").cast("string"), F.col("i").cast("string")))
+    slots = f.select("domain", "size", k1.alias("k1"), k2.alias("k2")).repartition(f.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(numbers))
+    drawn = slots.select("draw", "domain", (mixed(F.col("k1"), F.col("k2"), F.col("draw")) % F.col("size")).alias("i"))
+    return drawn.join(f.select("domain", "i", "s", "n"), ["domain", "i"]).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def interval(samples: DataFrame, column: str = "mean", level: float = 0.95) -> DataFrame:

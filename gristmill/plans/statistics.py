@@ -22,10 +22,27 @@ def docs(spark, sf_dir):
     return lines.join(o, "doc")
 
 
+def _keys(unit: str) -> str:
+    return f"('0x' || substr(md5('{SEED}|' || {unit}), 1, 8))::UBIGINT AS k1, ('0x' || substr(md5('{SEED}|' || {unit}), 9, 8))::UBIGINT AS k2"
+
+
+def _mixed(rows: str, draw: str, keep: str) -> str:
+    """Rows with h, the number of (k1, k2) and the draw: each step is a level, so that DuckDB computes it once."""
+    level = f"SELECT {keep}, k2, (k1 + {draw}::UBIGINT * 2654435769::UBIGINT) % 4294967296::UBIGINT AS h FROM {rows}"
+    for again in (True, False):
+        level = f"SELECT {keep}, k2, xor(h, h >> 16) * 2246822507::UBIGINT % 4294967296::UBIGINT AS h FROM ({level})"
+        level = f"SELECT {keep}, k2, xor(h, h >> 13) * 3266489909::UBIGINT % 4294967296::UBIGINT AS h FROM ({level})"
+        level = f"SELECT {keep}, k2, {'xor(xor(h, h >> 16), k2)' if again else 'xor(h, h >> 16)'} AS h FROM ({level})"
+    return f"({level})"
+
+
+WORDS = f"(SELECT s, k1, k2, w FROM (SELECT s, {_keys('family')} FROM f) CROSS JOIN (SELECT unnest(range({-(-SIGN_FLIPS // 32)})) AS w))"
+
+
 @register(
     "sign_flip_p",
     f"""WITH {DOCS}, f AS (SELECT family, sum(v) AS s, count(*) AS n FROM d GROUP BY family), t AS (SELECT sum(s) AS total, sum(n) AS docs FROM f),
-x AS (SELECT draw, sum(CASE WHEN substr(md5('{SEED}|' || draw || '|' || family), 1, 1) < '8' THEN s ELSE -s END) AS t FROM f CROSS JOIN (SELECT unnest(range({SIGN_FLIPS})) AS draw) GROUP BY draw)
+x AS (SELECT w * 32 + b AS draw, sum(CASE WHEN (h >> b::UBIGINT) & 1 = 0 THEN s ELSE -s END) AS t FROM {_mixed(WORDS, 'w', 's, w')} CROSS JOIN (SELECT unnest(range(32)) AS b) WHERE w * 32 + b < {SIGN_FLIPS} GROUP BY 1)
 SELECT round(max(total / docs), 9) AS observed, count(*)::BIGINT AS draws, round((1 + sum((abs(round(t, 9)) >= abs(round(total, 9)))::INT)) / (count(*) + 1)::DOUBLE, 9) AS p FROM x, t""",
 )
 def sign_flip_p(spark, sf_dir):
@@ -34,8 +51,9 @@ def sign_flip_p(spark, sf_dir):
     return p.select(F.round("observed", 9).alias("observed"), "draws", F.round("p", 9).alias("p"))
 
 
-BOOT = f"""{DOCS}, f AS (SELECT domain, family, sum(v) AS s, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY family) - 1 AS i, count(*) OVER (PARTITION BY domain) AS size FROM d GROUP BY domain, family),
-x AS (SELECT draw, domain, ('0x' || substr(md5('{SEED}|' || draw || '|' || domain || ':' || i), 1, 8))::UBIGINT % size AS i FROM f CROSS JOIN (SELECT unnest(range({BOOTSTRAPS})) AS draw)),
+SLOTS = f"(SELECT domain, size, draw, k1, k2 FROM (SELECT domain, size, {_keys('domain || chr(58) || i')} FROM f) CROSS JOIN (SELECT unnest(range({BOOTSTRAPS})) AS draw))"
+BOOT = f"""{DOCS}, f AS (SELECT domain, family, sum(v) AS s, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY md5(family::VARCHAR), family) - 1 AS i, count(*) OVER (PARTITION BY domain) AS size FROM d GROUP BY domain, family),
+x AS (SELECT draw, domain, h % size::UBIGINT AS i FROM {_mixed(SLOTS, 'draw', 'domain, size, draw')}),
 b AS (SELECT draw, sum(s) / sum(n) AS mean FROM x JOIN f USING (domain, i) GROUP BY draw)"""
 
 
