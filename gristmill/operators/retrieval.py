@@ -73,80 +73,24 @@ def bm25_weights(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ()
     return asked, _attach(tf, size, by).select(*by, "term", "chunk_id", weight.alias("w"))
 
 
-#: Postings, as a multiple of k, that a query's first look may read, and how far scores must lie apart to tell them apart.
-FIRST_LOOK, APART = 10, 1e-6
-
-
-def bm25_bounds(asked: DataFrame, weights: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, term, times, needed, least, rest) for each key `by`: what scoring may leave out.
-
-    A term adds between its smallest and its largest weight to a chunk. The terms that can add most, as long as their
-    postings are few, give a first score of some chunks; the k-th of these, less what other terms may take away, is a
-    score that k chunks reach (`least`). The terms that can add least, together less than that, aren't `needed`: no
-    chunk that has only them is among the k. `rest` is what they can add together.
-    """
-    unit = [*by, "query_id"]
-    ranges = weights.groupBy(*by, "term").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("high"), F.least(F.min("w"), F.lit(0.0)).alias("low"), F.count("*").alias("df"))
-    t = asked.join(small(ranges), "term").withColumns({"high": F.col("times") * F.col("high"), "low": F.col("times") * F.col("low")})
-    most_first = W.partitionBy(*unit).orderBy(F.desc("high"), "term")
-    before = F.coalesce(F.sum("df").over(most_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    upward = W.partitionBy(*unit).orderBy("high", F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({"first": before < FIRST_LOOK * k, "up_to": F.sum("high").over(upward)})
-    look = weights.join(small(t.where("first").select(*unit, "term", "times")), [*by, "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("s"))
-    place = F.row_number().over(W.partitionBy(*unit).orderBy(F.desc("s")))
-    kth = look.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select(*unit, "s")
-    lost = t.groupBy(*unit).agg(F.sum(F.when(~F.col("first"), F.col("low")).otherwise(0.0)).alias("lost"))
-    least = kth.join(lost, unit).select(*unit, (F.col("s") + F.col("lost") - APART).alias("least"))
-    t = t.join(least, unit, "left").withColumn("needed", F.coalesce(F.col("up_to") >= F.col("least"), F.lit(True)))
-    rest = F.sum(F.when(~F.col("needed"), F.col("high")).otherwise(0.0)).over(W.partitionBy(*unit))
-    return t.select(*unit, "term", "times", "needed", "least", rest.alias("rest"))
-
-
-def bm25_scored(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that can be among the k best of a query and shares a term with it.
-
-    Only postings of needed terms are summed for all chunks; what the other terms add is looked up for the chunks that
-    can still reach the k-th score with all of it.
-    """
-    asked, weights = bm25_weights(queries, chunks, by)
-    bounds = bm25_bounds(asked, weights, k, by)
-    unit = [*by, "query_id"]
-    needed = small(bounds.where("needed"), like=asked)
-    parts = weights.join(needed, [*by, "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("part"), F.max("least").alias("least"), F.max("rest").alias("rest"))
-    open_ = parts.where(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least"))).select(*unit, "chunk_id", "part")
-    others = small(bounds.where("not needed").select(*unit, "term", "times"), like=asked)
-    more = open_.select(*unit, "chunk_id").join(others, unit).join(weights, [*by, "chunk_id", "term"]).groupBy(*unit, "chunk_id").agg(F.sum(F.col("times") * F.col("w")).alias("more"))
-    both = open_.join(more, [*unit, "chunk_id"], "left")
-    return both.select(*unit, "chunk_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("score"))
-
-
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks, exactly; those without a query term are at 0; a term repeated in the query counts each time.
 
     With `by`, each key (say, each chunker's chunks) has its own statistics and lists, all in one plan. Chunks at 0 only
     fill a list that has fewer than k others, so of those just the 2k smallest ids can be needed.
     """
-    scored = bm25_scored(queries, chunks, k, by)
+    asked, weights = bm25_weights(queries, chunks, by)
+    scored = weights.join(small(asked), "term").groupBy(*by, "query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), DIGITS).alias("score"))
     numbered = chunks.select(*by, "chunk_id", "text")
     if by:
         numbered = numbered.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("chunk_id"))).where(F.col("_n") <= 2 * k).drop("_n")
     else:
         numbered = numbered.orderBy("chunk_id").limit(2 * k)
-    asked = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term"))
     held = numbered.select(*by, "chunk_id", F.explode(F.array_distinct(lexical_tokens("text"))).alias("term")).join(asked, "term").select(*by, "query_id", "chunk_id").distinct()
     fill = queries.select("query_id").crossJoin(F.broadcast(numbered.select(*by, "chunk_id"))).join(held, [*by, "query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(scored.unionByName(fill), k, (*by, "query_id")).select(*by, "query_id", "chunk_id", "rank", "score")
 
 
-def bm25_work(queries: DataFrame, chunks: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, summed, all_postings) for each key: postings that are summed for all chunks, of those that queries have."""
-    asked, weights = bm25_weights(queries, chunks, by)
-    bounds = bm25_bounds(asked, weights, k, by)
-    df = weights.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    t = bounds.join(df, [*by, "term"])
-    return t.groupBy(*by, "query_id").agg(F.sum(F.when(F.col("needed"), F.col("df")).otherwise(0)).alias("summed"), F.sum("df").alias("all_postings"))
-
-
 def crc_bucket(token: str, dimensions: int) -> int:
     return zlib.crc32(token.encode()) % dimensions
 
