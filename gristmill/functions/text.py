@@ -88,3 +88,23 @@ def evidence_grade(text, document, gold_documents: Column, spans: Column, mode:
 def sentences(c: Column | str) -> Column:
     """Cut after . ! or ? before white space; trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(_col(c), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+# Words whose full stop belongs to them, and marks that end a sentence whatever stands before them.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Rev", "Gen", "Sen", "Gov", "Jr", "Sr", "St", "Mt", "Ave", "Blvd", "Inc", "Ltd", "Co", "Corp", "Bros", "vs", "etc", "No", "approx", "e.g", "i.e", "a.m", "p.m", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec")
+ENDS = "!?\u2026\u203d\u3002\uff01\uff1f\u061f\u06d4\u0964"
+
+_AFTER = r"(?<=[\p{Ll}\p{Nd}%\p{Pe}\p{Pf}\"'\s]|\p{Lu}{2})"
+_ABBREVIATED = "(?<!(?:^|[^\\p{L}\\p{N}.])(?:" + "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS) + "))"
+_STOP = rf"(?:[{ENDS}]|{_AFTER}{_ABBREVIATED}(?<!\.)\.(?!\.))"
+#: To the first mark that ends a sentence, with all punctuation and white space up to the next word; or to the end.
+_SENTENCE = rf"(?Us)(?=\S).*?(?:{_STOP}\p{{P}}*\s[\p{{P}}\s]*(?=[^\p{{P}}\s])|(?<=\p{{Ll}})\.(?=\p{{Lu}})|\z)"
+
+
+def rule_sentences(c: Column | str) -> Column:
+    """C2 by rules on tokens instead of characters: a full stop is a token of its own at the end of a word, after a small
+    letter, a digit, a closing mark or two capitals (not after a lone initial, an abbreviation or another full stop), or
+    between a small letter and a capital; other end marks are at the end of any word.  The next sentence starts with the
+    first token that isn't punctuation, so quotes and brackets after the end stay with it.  Trimmed, empty ones dropped."""
+    parts = F.regexp_extract_all(_col(c), F.lit(_SENTENCE), F.lit(0))
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import importable
-from gristmill.functions.text import sentences
+from gristmill.functions.text import rule_sentences
 from gristmill.functions.tokens import Tokenizer, decoded, token_count, token_ids
 from gristmill.operators.chunking import CHUNK, cosine, fixed_windows, hashed_sentence_vector, recursive_split
 
@@ -169,16 +169,16 @@ def recursive_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataF
 
 
 def sentence_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame:
-    return _by_document(docs, spec.get("split", sentences)("text"), lambda s: packed(tokenizer, list(s), spec["size"], spec.get("strict", False)), spec["name"], tokenizer)
+    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: packed(tokenizer, list(s), spec["size"], spec.get("strict", False)), spec["name"], tokenizer)
 
 
 def semantic_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame:
     encode, similarity = spec.get("encode", hashed_sentence_vector), spec.get("similarity", cosine)
     least = spec.get("least") or max(32, spec["size"] // 2)
-    return _by_document(docs, spec.get("split", sentences)("text"), lambda s: broken(tokenizer, list(s), spec["size"], spec["threshold"], least, encode, similarity), spec["name"], tokenizer)
+    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: broken(tokenizer, list(s), spec["size"], spec["threshold"], least, encode, similarity), spec["name"], tokenizer)
 
 
-def sentence_counts(docs: DataFrame, tokenizer: Tokenizer, split: Callable = sentences) -> DataFrame:
+def sentence_counts(docs: DataFrame, tokenizer: Tokenizer, split: Callable = rule_sentences) -> DataFrame:
     """C8 as a table: (doc_id, position, sentence, first, continuation)."""
     importable(docs.sparkSession)
     s = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(split("text")).alias("position", "sentence"))
