@@ -1,3 +1,3 @@
 """The queries; importing the package registers them."""
 
-from gristmill.plans import answers, cells, chunks, diagnostics, dialogue, grading, integrity, retrieval, statistics, supervision, texts  # noqa: F401
+from gristmill.plans import answers, cells, chunks, diagnostics, dialogue, grading, integrity, retrieval, snapshots, statistics, supervision, texts  # noqa: F401
