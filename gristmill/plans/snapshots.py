@@ -94,7 +94,7 @@ def _stages(spark, sf_dir):
 
 @register(
     "integrity_suite",
-    """SELECT 'documents in full' AS "check", true AS passed, 0::BIGINT AS failures, NULL::VARCHAR AS example
+    """SELECT 'documents in full' AS "check", count(*) = count(DISTINCT doc_id) AS passed, (count(*) <> count(DISTINCT doc_id))::BIGINT AS failures, CASE WHEN count(*) <> count(DISTINCT doc_id) THEN count(*) || ' rows, not ' || count(DISTINCT doc_id) END AS example FROM documents
 UNION ALL SELECT 'labelled documents exist', count(*) = 0, count(*)::BIGINT, min(l.doc_id::VARCHAR) FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id
 UNION ALL SELECT 'no order without a customer', count(*) = 0, count(*)::BIGINT, min(o_orderkey::VARCHAR) FROM orders ANTI JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT 'urgent orders are closed', count(*) = 0, count(*)::BIGINT, min(o_orderkey::VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'
