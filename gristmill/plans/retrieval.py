@@ -126,3 +126,29 @@ SELECT query_id, chunk_id, fused_rank, (row_number() OVER (PARTITION BY query_id
 def rerank_lexical(spark, sf_dir):
     """Only the pool meets the scorer."""
     return retrieval.rerank(bm25_lists(spark, sf_dir), queries(spark, sf_dir), fixed_128(spark, sf_dir), TOP)
+
+
+def overlap_model():
+    """A stand-in for the pair model: the yes logit is the share of a prompt's ids that occur in it before, the no logit 0.5."""
+    import numpy as np
+
+    def logits(ids, mask):
+        out = np.zeros((*ids.shape, 2))
+        for row, (own, held) in enumerate(zip(ids, mask)):
+            real = own[held.astype(bool)]
+            out[row, -1] = 0.5, 1 - len(set(real.tolist())) / len(real)
+        return out
+
+    return logits
+
+
+@register("pair_scores")
+def pair_scores(spark, sf_dir):
+    """The lexical pool scored by a stand-in model in batches by length; held against single pairs in the tests."""
+    from gristmill.operators.pairs import score_pairs
+    from gristmill.plans.chunks import tokenizer
+
+    pool = bm25_lists(spark, sf_dir).select("query_id", "chunk_id", "rank")
+    rows = pool.join(fixed_128(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(queries(spark, sf_dir).select("query_id", F.col("text").alias("query_text")), "query_id")
+    scored, _ = score_pairs(rows, ["query_id", "chunk_id", "rank"], F.col("query_text"), F.col("text"), F.lit("Tell whether the document answers the query."), tokenizer(), overlap_model, 1, 0)
+    return scored.select("query_id", "chunk_id", "rank", "n_tokens", F.round("score_margin", 9).alias("score_margin"), F.round("score_probability", 9).alias("score_probability"))
