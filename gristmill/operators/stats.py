@@ -7,6 +7,7 @@ partitioning, and SQL, makes the same draws.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -168,10 +169,59 @@ def _drawn_by_join(f: DataFrame, draws: int, seed: int) -> DataFrame:
     return drawn.join(f.select("domain", "i", "s", "n"), ["domain", "i"]).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
+#: Ranges that a group's values are dealt to; a task holds the distinct values of one.
+RANGES = 64
+
+
+def _same(a: str, b: str, by: list[str]) -> Column:
+    """Equal keys, nulls too."""
+    return reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), by, F.lit(True))
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str], more: list[str], columns: list[str]) -> DataFrame:
+    """`rows` with columns of `groups`, a table with a row for each (by, more)."""
+    if not by and not more:
+        return rows.crossJoin(F.broadcast(groups))
+    return rows.alias("r").join(groups.alias("g"), _same("r", "g", [*by, *more])).select("r.*", *[f"g.{c}" for c in columns])
+
+
+def ordered(rows: DataFrame, column: Column, by: list[str]) -> DataFrame:
+    """(by, value, own, before, n): each distinct value of a group with its rows, the rows of smaller values, and all rows.
+
+    Values are counted, then dealt to ranges by approximate cut points; they are summed up inside a range and moved by the
+    ranges before it. The result is exact whatever the cuts, and no task has a whole group. Nulls are left out.
+    """
+    counts = rows.select(*by, column.alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("own"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    value = F.col("value")
+    placed = _beside(counts, cuts, by, [], ["cuts"]).withColumn("range", F.size(F.filter("cuts", lambda c: c <= value))).drop("cuts")
+    ranges = placed.groupBy(*by, "range").agg(F.sum("own").alias("own"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # at most RANGES rows of each group
+    ranges = ranges.withColumns({"ahead": F.coalesce(F.sum("own").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("own").over(group)})
+    inside = W.partitionBy(*by, "range").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("inside", F.coalesce(F.sum("own").over(inside), F.lit(0)))
+    both = _beside(placed, ranges, by, ["range"], ["ahead", "n"])
+    return both.select(*by, "value", "own", (F.col("ahead") + F.col("inside")).alias("before"), "n")
+
+
+def percentiles(rows: DataFrame, column: Column, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, a column for each share; a group without a value has no row."""
+    by = by or []
+    o = ordered(rows, column.cast("double"), by)
+    picks = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("n") - 1)
+        here = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("own")), F.col("value")))
+        picks += [here(F.floor(at)).alias(f"{name}_low"), here(F.ceil(at)).alias(f"{name}_high"), F.max(at - F.floor(at)).alias(f"{name}_part")]
+    g = o.groupBy(*by).agg(*picks)
+    return g.select(*by, *[((1 - F.col(f"{n}_part")) * F.col(f"{n}_low") + F.col(f"{n}_part") * F.col(f"{n}_high")).alias(n) for n in shares])
+
+
 def interval(samples: DataFrame, column: str = "mean", level: float = 0.95) -> DataFrame:
-    """Percentiles with linear interpolation."""
+    """Percentiles with linear interpolation; null without samples."""
     a = (1 - level) / 2
-    return samples.agg(F.percentile(column, a).alias("low"), F.percentile(column, 1 - a).alias("high"))
+    p = percentiles(samples, F.col(column), {"low": a, "high": 1 - a})
+    return p.agg(F.max("low").alias("low"), F.max("high").alias("high"))  # a row in any case
 
 
 def paired_differences(rows: DataFrame, document: str, chunker: str, system: str, seed: str, value: str, first: str = "B", second: str = "E") -> DataFrame:
@@ -188,8 +238,12 @@ def leave_one_out(effects: DataFrame, value: str = "effect") -> DataFrame:
 
 def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """N, mean, min, median, p95 and max of the finite values; null where there are none."""
+    by = by or []
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value).cast("double"))
-    return rows.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("max"))
+    plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    exact = percentiles(rows, v, {"median": 0.5, "p95": 0.95}, by)
+    both = plain.alias("r").join(exact.alias("g"), _same("r", "g", by), "left")
+    return both.select(*[f"r.{c}" for c in by], "r.n", "r.mean", "r.min", "g.median", "g.p95", "r.max")
 
 
 def argbest(rows: DataFrame, value: str, ties: list[Column], digits: int = 9) -> DataFrame:
@@ -197,16 +251,16 @@ def argbest(rows: DataFrame, value: str, ties: list[Column], digits: int = 9) ->
     return rows.orderBy(F.desc(F.round(value, digits)), *ties).limit(1)
 
 
-def average_rank(column: str, by: list[str]) -> Column:
-    """Ranks with ties at their mean."""
-    w = W.partitionBy(*by)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(W.partitionBy(*by, column)) - 1) / 2
+def with_average_rank(rows: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
+    """`rows` with the rank of the column's value in its group, ties at their mean; a null has none."""
+    ranks = ordered(rows, F.col(column), by).select(*by, F.col("value").alias(column), (F.col("before") + (F.col("own") + 1) / 2).alias(name))
+    return rows.alias("r").join(ranks.alias("g"), _same("r", "g", [*by, column]), "left").select("r.*", f"g.{name}")
 
 
 def associations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson and average-rank Spearman; null where a side is constant."""
-    r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = r.withColumns({"rx": average_rank(x, by), "ry": average_rank(y, by)})
+    r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = with_average_rank(with_average_rank(r, x, by, "rx"), y, by, "ry")
     corr = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))  # noqa: E731  null where a side is constant
     return r.groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("rx", "ry").alias("spearman"))
 
