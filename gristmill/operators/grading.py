@@ -6,24 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.operators.retrieval import SMALL
+
 SPAN_BLOCK = 2000
 
 
+def anchor(span: Column, whole_tokens: bool) -> Column:
+    """The longest token of a span that a text which holds the span must have as a token; null where there is none.
+
+    Inside words, the first and the last token of a span may be ends of longer ones, so those between count. Long tokens
+    are seldom frequent; of equal ones the first in order is taken.
+    """
+    tokens = F.array_remove(F.split(span, " "), "")
+    sure = tokens if whole_tokens else F.when(F.size(tokens) > 2, F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(1))))
+    return F.array_max(F.transform(sure, lambda t: F.struct(F.length(t).alias("length"), t.alias("token"))))["token"]
+
+
 def containment(texts: DataFrame, spans: DataFrame, text_id: str, span_id: str, whole_tokens: bool = False) -> DataFrame:
     """(text_id, span_id) where the normalised text n holds the normalised span n.
 
-    Equal spans are tested once. The stated spans go out in blocks of about SPAN_BLOCK as arrays, each text meets a block at a time;
-    the texts are read in place and never shuffled.
+    Equal spans are tested once. A text meets only the spans whose anchor is one of its tokens, and those are verified on
+    the text. Up to SMALL spans go out to the texts, which are read once in place; beyond, tokens are joined with anchors
+    and the texts, whose ids then have to differ, come to the pairs that are left. Spans without an anchor, of a word or
+    two, meet the texts in blocks.
     """
-    own = spans.where("n <> ''").groupBy("n").agg(F.collect_list(span_id).alias("ids"))
+    own = spans.where("n <> ''").groupBy("n").agg(F.collect_list(span_id).alias("ids")).withColumn("anchor", anchor(F.col("n"), whole_tokens))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" ")) if whole_tokens else c
+    holds = F.contains(padded(F.col("n")), padded(F.col("span")))
+    long = own.where("anchor is not null").select("anchor", F.col("n").alias("span"), "ids")
+    token = F.explode(F.array_distinct(F.split("n", " "))).alias("anchor")
+    if long.limit(SMALL + 1).count() <= SMALL:
+        hits = texts.select(text_id, "n", token).join(F.broadcast(long), "anchor").where(holds)
+    else:
+        pairs = texts.select(text_id, token).join(long, "anchor")
+        hits = pairs.join(texts.select(text_id, "n"), text_id).where(holds).dropDuplicates([text_id, "span"])
+    found = hits.select(text_id, F.explode("ids").alias(span_id))
     if whole_tokens:
-        own = own.withColumn("n", F.concat(F.lit(" "), "n", F.lit(" ")))
-        texts = texts.withColumn("n", F.concat(F.lit(" "), "n", F.lit(" ")))
-    count = own.count()
+        return found
+    short = own.where("anchor is null").select("n", "ids")
+    count = short.count()
     block = F.pmod(F.xxhash64("n"), F.lit(max(1, -(-count // SPAN_BLOCK))))
-    blocks = own.groupBy(block.alias("block")).agg(F.collect_list(F.struct("n", "ids")).alias("spans")).select("spans")
-    held = texts.crossJoin(F.broadcast(blocks)).select(text_id, F.explode(F.filter("spans", lambda s: F.contains(F.col("n"), s["n"]))).alias("s"))
-    return held.select(text_id, F.explode("s.ids").alias(span_id))
+    blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("n", "ids")).alias("spans")).select("spans")
+    blocks = F.broadcast(blocks) if count <= SMALL else blocks
+    held = texts.crossJoin(blocks).select(text_id, F.explode(F.filter("spans", lambda s: F.contains(F.col("n"), s["n"]))).alias("s"))
+    return found.unionByName(held.select(text_id, F.explode("s.ids").alias(span_id))) if count else found
 
 
 def gain(grade: Column) -> Column:
