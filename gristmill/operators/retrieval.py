@@ -53,7 +53,9 @@ def bm25_statistics(chunks: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFr
     """
     tokens = chunks.select(*by, lexical_tokens("text").alias("tokens"))
     size = tokens.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tokens.select(*by, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    # the outer form and the filter after it: else texts are cut once more to see whether they have tokens, and counts that
+    # are used twice are made twice
+    df = tokens.select(*by, F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term is not null").groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = _attach(df, size.select(*by, "n"), by).select(*by, "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))  # a row for each key
     idf = _attach(raw, mean, by).select(*by, "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -67,7 +69,7 @@ def bm25_weights(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ()
     words = asked.select("term").distinct()
     terms = small(idf.join(small(words), "term", "left_semi"), like=words)  # else the exploded chunks might be taken for the smaller side
     tokens = chunks.select(*by, "chunk_id", lexical_tokens("text").alias("tokens"))
-    postings = tokens.select(*by, "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = tokens.select(*by, "chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
     tf = postings.join(terms, [*by, "term"]).groupBy(*by, "chunk_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return asked, _attach(tf, size, by).select(*by, "term", "chunk_id", weight.alias("w"))

@@ -29,6 +29,10 @@ def bm25_lists(spark, sf_dir):
 
 
 def relevant(spark, sf_dir):
+    return shared(spark, sf_dir, "relevant", lambda: _relevant(spark, sf_dir))
+
+
+def _relevant(spark, sf_dir):
     """(query_id, doc_id): documents that hold the query's item whole."""
     d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), normalize_text("text").alias("n"))
     return grading.containment(d, queries(spark, sf_dir).select("query_id", normalize_text("text").alias("n")), "doc_id", "query_id")
