@@ -13,7 +13,7 @@ disk of the executors; what is lost with one of them is computed again from the
 Rounds after which no centroid moved would change nothing and are left out.
 
 Edge cases: vectors that are null, hold a null or non-finite entry, or haven't `dimensions` entries are left out, and so
-are those with an entry of 2^15 or more, whose distances a long might not hold; an inertia beyond a long is null; fewer vectors than clusters
+are those with an entry beyond `largest`, some 185,000 for 64 dimensions, whose distances a long might not hold; an inertia beyond a long is null; fewer vectors than clusters
 give as many clusters as vectors; equal hashes at the start (repeated ids) go by the vector; a null id hashes as 'null' and
 stays null; repeated rows are returned each; clusters may be empty; an empty table gives an empty result; further columns
 are left out.
@@ -22,6 +22,7 @@ are left out.
 from __future__ import annotations
 
 import hashlib
+import math
 from decimal import Decimal
 from typing import NamedTuple
 
@@ -34,8 +35,6 @@ from pyspark.storagelevel import StorageLevel
 from gristmill.llm.common import map_arrow, materialise, read, schema_of
 
 CLUSTERS, ROUNDS, SCALE, DIMENSIONS, SEED = 8, 10, 1024, 64, 3
-#: Entries up to here keep four times a squared distance within a long, up to 512 dimensions.
-LARGEST = (1 << 25) - 1
 BLOCK = "ids array<long>, x array<int>, cluster array<int>, distance array<long>, part array<struct<cluster: int, count: long, inertia: decimal(30,0), sums: array<long>>>"
 ROW = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
 
@@ -48,10 +47,15 @@ class Fitted(NamedTuple):
     sizes: list[tuple[int, int]]
 
 
+def largest(dimensions: int) -> int:
+    """Entries up to here, either way, have squared distances within a long."""
+    return math.isqrt(((1 << 63) - 1) // dimensions) // 2
+
+
 def usable(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE) -> DataFrame:
     """(vec_id, x array<int>)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("c"))
-    fits = F.forall("c", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LARGEST / scale))
+    fits = F.forall("c", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= largest(dimensions) / scale))
     return v.where(F.col("c").isNotNull() & (F.size("c") == dimensions) & fits).select("vec_id", F.transform("c", lambda c: F.floor(c * scale).cast("int")).alias("x"))
 
 
@@ -75,9 +79,9 @@ def nearest(x: np.ndarray, cluster: np.ndarray, centroids: np.ndarray) -> tuple[
         own = squares(members, c)
         compared += len(members)
         off = centroids - centroids[c]
-        apart = np.einsum("ij,ij->i", off, off)  # of centroids; half of the way is compared as a quarter of its square
-        others = np.array([j for j in np.argsort(apart, kind="stable") if j != c and apart[j] // 4 <= own.max()], int)
-        annulus = np.searchsorted(apart[others], 4 * own, "right")  # so many neighbours may be as near; none: the core
+        half = -(-np.einsum("ij,ij->i", off, off) // 4)  # half of the way to the other centroids, squared and rounded up
+        others = np.array([j for j in np.argsort(half, kind="stable") if j != c and half[j] <= own.max()], int)
+        annulus = np.searchsorted(half[others], own, "right")  # so many neighbours may be as near; none: the core
         chosen, least = np.full(len(members), c), own.copy()
         for m, j in enumerate(others):
             open_ = np.flatnonzero(annulus > m)

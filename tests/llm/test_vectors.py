@@ -145,8 +145,8 @@ def test_few_vectors_and_none(spark):
 
 
 def test_repeated_ids_and_large_entries(spark):
-    rows = [(i % 3, [float(32767 if (i + j) % 2 else -32767) for j in range(64)], 0, "", "", 0) for i in range(12)]
-    df = spark.createDataFrame([*rows, (7, [40000.0] * 64, 0, "", "", 0)], SCHEMA)
+    rows = [(i % 3, [float(185000 if (i + j) % 2 else -185000) for j in range(64)], 0, "", "", 0) for i in range(12)]
+    df = spark.createDataFrame([*rows, (7, [190000.0] * 64, 0, "", "", 0)], SCHEMA)
     assert got(ballkmeans.cluster(df)) == lloyd([(i, v) for i, v, *_ in rows])
 
 
