@@ -36,9 +36,9 @@ def groups(rows, finite=True):
     return out
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 64])
+@pytest.mark.parametrize("ranges", [2, 64])
 def test_percentiles(frame, rows, monkeypatch, ranges):
-    monkeypatch.setattr(stats, "RANGES", max(2, ranges))
+    monkeypatch.setattr(stats, "RANGES", ranges)
     got = {r.g: r for r in stats.summary(frame, "v", ["g"]).collect()}
     want = groups(rows)
     assert set(got) == set(want)
