@@ -128,7 +128,7 @@ def test_clusters(vectors):
     assert got(ballkmeans.cluster(vectors)) == lloyd(usable(vectors))
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("rounds", [0, 3])
 def test_fewer_rounds(vectors, rounds):
     assert got(ballkmeans.cluster(vectors, rounds=rounds)) == lloyd(usable(vectors), rounds=rounds)
 
