@@ -96,9 +96,10 @@ ENDS = "!?\u2026\u203d\u3002\uff01\uff1f\u061f\u06d4\u0964"
 
 _AFTER = r"(?<=[\p{Ll}\p{Nd}%\p{Pe}\p{Pf}\"'\s]|\p{Lu}{2})"
 _ABBREVIATED = "(?<!(?:^|[^\\p{L}\\p{N}.])(?:" + "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS) + "))"
-_STOP = rf"(?:[{ENDS}]|{_AFTER}{_ABBREVIATED}(?<!\.)\.(?!\.))"
+#: A look at the stop itself comes first, so that what stands before it is tested there alone.
+_STOP = rf"(?:[{ENDS}]|(?=\.){_AFTER}{_ABBREVIATED}(?<!\.)\.(?!\.))"
 #: To the first mark that ends a sentence, with all punctuation and white space up to the next word; or to the end.
-_SENTENCE = rf"(?Us)(?=\S).*?(?:{_STOP}\p{{P}}*\s[\p{{P}}\s]*(?=[^\p{{P}}\s])|(?<=\p{{Ll}})\.(?=\p{{Lu}})|\z)"
+_SENTENCE = rf"(?Us)(?=\S).*?(?:{_STOP}\p{{P}}*\s[\p{{P}}\s]*(?=[^\p{{P}}\s])|(?=\.)(?<=\p{{Ll}})\.(?=\p{{Lu}})|\z)"
 
 
 def rule_sentences(c: Column | str) -> Column:
@@ -107,4 +108,4 @@ def rule_sentences(c: Column | str) -> Column:
     between a small letter and a capital; other end marks are at the end of any word.  The next sentence starts with the
     first token that isn't punctuation, so quotes and brackets after the end stay with it.  Trimmed, empty ones dropped."""
     parts = F.regexp_extract_all(_col(c), F.lit(_SENTENCE), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)\s+\z", "")), lambda s: s != "")  # they start with no white space

@@ -146,7 +146,7 @@ def fixed_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame
         return _by_document(docs, F.col("text"), cut, spec["name"], tokenizer)
     importable(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), token_ids("text", tokenizer).alias("ids")).where("ids is not null")
-    windows = ids.select("doc_id", F.posexplode(fixed_windows(F.col("ids"), size, overlap, "int")).alias("chunk_index", "window"))
+    windows = ids.select("doc_id", F.posexplode_outer(fixed_windows(F.col("ids"), size, overlap, "int")).alias("chunk_index", "window")).where("window is not null")
     text = F.regexp_replace(decoded("window", tokenizer), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return _chunks(windows.select("doc_id", "chunk_index", text.alias("text")), spec["name"], tokenizer)
 
@@ -181,7 +181,7 @@ def semantic_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFr
 def sentence_counts(docs: DataFrame, tokenizer: Tokenizer, split: Callable = rule_sentences) -> DataFrame:
     """C8 as a table: (doc_id, position, sentence, first, continuation)."""
     importable(docs.sparkSession)
-    s = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(split("text")).alias("position", "sentence"))
+    s = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode_outer(split("text")).alias("position", "sentence")).where("sentence is not null")
     after = F.when(F.col("position") > 0, token_count(F.concat(F.lit(" "), "sentence"), tokenizer)).otherwise(0)
     return s.select("doc_id", "position", "sentence", token_count("sentence", tokenizer).alias("first"), after.alias("continuation"))
 

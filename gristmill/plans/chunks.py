@@ -94,7 +94,7 @@ def rule_sentences(spark, sf_dir):
     """The sentences of all documents by the token rules."""
     from gristmill.functions.text import rule_sentences as split
 
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(split("text")).alias("position", "sentence")).select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(split("text")).alias("position", "sentence")).where("sentence is not null").select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
 
 
 @register("subword_counts")
