@@ -8,6 +8,7 @@ the second.  `from_file` makes one of a tokenizer file; its content travels with
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 from typing import Protocol
 
@@ -26,6 +27,7 @@ class Tokenizer(Protocol):
 
 @lru_cache(4)
 def _loaded(content: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given out the cores
     from tokenizers import Tokenizer as Library
 
     own = Library.from_str(content)

@@ -13,7 +13,7 @@ over; `strict` raises instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import batched, pairwise
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from gristmill.functions.text import rule_sentences
 from gristmill.functions.tokens import Tokenizer, decoded, token_count, token_ids
 from gristmill.operators.chunking import CHUNK, cosine, fixed_windows, hashed_sentence_vector, recursive_split
 
-#: Prefixes that are tried in one call of the tokenizer.
+#: Prefixes that are tried in one call of the tokenizer after the longest one, which mostly fits.
 TRIED = 4
 
 
@@ -34,7 +34,8 @@ def longest_prefix(tokenizer: Tokenizer, ids: list[int], limit: int, strict: boo
 
     Lengths are tried from the longest down, since a shorter prefix may well encode to more ids than a longer one.
     """
-    for lengths in batched(range(min(limit, len(ids)), 0, -1), TRIED):
+    most = min(limit, len(ids))
+    for lengths in chain(batched([most][:most], 1), batched(range(most - 1, 0, -1), TRIED)):
         texts = [t.strip() for t in tokenizer.decode([ids[:n] for n in lengths])]
         fits = [n for n, t, own in zip(lengths, texts, tokenizer.encode(texts)) if t and len(own) <= limit]
         if fits:
