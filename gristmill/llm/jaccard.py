@@ -49,9 +49,9 @@ from gristmill.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 3, 90
 CHUNK, HOT, HOT_MOST, SALTS = 1_000_000, 4, 1 << 20, 64
-SKETCH = 1024
+SKETCH, FOLD = 1024, 256
 ROUNDS, LEADERS, LONG = 3, 12, 32
-MEMBERS = 500
+MEMBERS, TILE = 500, 250_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -190,9 +190,17 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, beyond: str = "0
     For blocks: x and y are pivots, `beyond` is the most that a pair of their members can have in common beside what the pivots
     have, `sizes` the smallest sum of sizes of such a pair.
     """
+    pairs = materialise(pairs, "proposed")
+    sketches = _only(sketches, pairs.select(F.explode(F.array("x", "y")).alias("id")))
     x, y = (sketches.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "xy")
     apart = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(SKETCH // 64))
-    return pairs.join(x, "x").join(y, "y").where(f"(x_n + y_n - ({apart}) + 2 * ({beyond})) * {100 + percent} >= {2 * percent} * ({sizes})").select("x", "y")
+    return pairs.join(x, "x").join(y, "y").where(f"(x_n + y_n - ({apart}) + 2 * ({beyond})) * {100 + percent} >= {2 * percent} * ({sizes})").select(*pairs.columns)
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that have one of the keys, looked up where they are read while the keys are BROADCAST_ROWS at most."""
+    keys = materialise(keys.distinct(), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, keys.columns, "left_semi")
 
 
 def _possible(percent: int) -> str:
@@ -301,7 +309,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
     sets = survey.where("kind = 0").select("doc_id", "n", "a", "b")
     classes = materialise(sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     names = classes.where("rep is not null").select(F.col("a").alias("sid"), F.col("rep").alias("id"))
-    sketches = survey.where("kind = 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(names.select("id"), "id").dropDuplicates(["id"])
+    sketches = materialise(survey.where("kind = 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(names.select("id"), "id").dropDuplicates(["id"]), "sketches")
     lists = materialise(_shared(_postings(docs, k, percent, _frequent(survey))).join(names, "sid").select("token", "id", "n", "pos"), "lists")
 
     verified, within = _by_leaders(docs, lists, sketches, k, percent)
@@ -384,12 +392,10 @@ def _near(docs: DataFrame, within: DataFrame, sizes: DataFrame, verified: DataFr
     cells = materialise(members.groupBy("label", *cell).agg(F.sum("copies").alias("w")), "cells")
 
     blocks = cells.groupBy("label", "pivot").agg(F.max("beyond").alias("beyond"), F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = (blocks.select("label", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "beyond", "least", "most")]) for side in "ab")
-    asked = a.join(b, "label").where(f"a_pivot < b_pivot and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least")
-    asked = asked.select(F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"))
-    asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes"), "asked-pivots")
+    asked = materialise(_pivots_alike(blocks, sketches, percent), "asked-pivots")
     known = _either_way(verified).select("x", "y", "overlap").distinct()
-    new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k).select("x", "y", "overlap")
+    shingles = sizes.select("id", "n")
+    new = _verify_together(docs, asked.join(known, ["x", "y"], "left_anti"), shingles, k).select("x", "y", "overlap")
     answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "overlap").unionByName(new), "pivots")
     own = cells.select(F.col("pivot").alias("x"), F.col("pivot").alias("y"), (F.col("n") - F.col("beyond") + F.col("lost")).alias("overlap")).distinct()
     answers = answers.unionByName(answers.select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap")).unionByName(own)
@@ -407,42 +413,156 @@ def _near(docs: DataFrame, within: DataFrame, sizes: DataFrame, verified: DataFr
     a, b = (cells.select(*[F.col(c).alias(f"{side}_{c}") for c in cell]) for side in "ab")
     grid = a.join(answers, a["a_pivot"] == answers["x"]).join(b, answers["y"] == b["b_pivot"])
     grid = grid.where(f"least(overlap + a_beyond + b_beyond, a_n, b_n) {asks} (a_n + b_n) and not (overlap - a_lost - b_lost) {asks} (a_n + b_n)")
-    grid = materialise(grid.drop("x", "y", "overlap"), "grid")
-
-    x, y = (members.select(F.col("id").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in cell]) for side, name in (("x", "a"), ("y", "b")))
-    pairs = grid.join(x, [f"a_{c}" for c in cell]).join(y, [f"b_{c}" for c in cell]).where("x < y").select("x", "y")
-    found = materialise(verify(docs, _alike(pairs, sketches, percent), k).where(_links(percent)), "inner").select("x", "y")
+    grid = materialise(grid.where("x <= y").drop("x", "y"), "grid")
+    pairs = _members_alike(members, grid, sketches, percent)
+    found = materialise(_verify_together(docs, pairs, shingles, k).where(_links(percent)), "inner").select("x", "y")
     found = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     found = found.join(sizes.select(F.col("id").alias("y"), "copies"), "y").select(F.col("x").alias("id"), F.col("copies").alias("near"))
     return counted.unionByName(found).groupBy("id").agg(F.sum("near").alias("near"))
 
 
+def _pivots_alike(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(label, x, y), x < y, of the pivots of a component whose sketches leave room for links of their members.
+
+    The pivots of a component are dealt to tiles of about MEMBERS, and each pair of tiles is compared in one go.
+    """
+    many = blocks.groupBy("label").count().where("count > 1").select("label", F.ceil(F.col("count") / MEMBERS).cast("int").alias("tiles"))
+    own = materialise(blocks.join(many, "label").withColumn("tile", F.pmod(F.xxhash64("pivot"), F.col("tiles")).cast("int")), "tiles")
+    own = own.join(_only(sketches, own.select(F.col("pivot").alias("id"))).select(F.col("id").alias("pivot"), F.col("n").alias("size"), "sketch"), "pivot")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    spread = own.select("*", other).select("label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.struct("pivot", "tile", "least", "most", "size", "beyond", "sketch").alias("of"))
+    grouped = spread.groupBy("label", "i", "j").agg(F.collect_list("of").alias("of"))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                label, i, j = (batch.column(c)[r].as_py() for c in range(3))
+                of = batch.column(3)[r].values
+                pivot, tile, least, most, size, beyond = (of.field(c).to_numpy() for c in range(6))
+                sketch = of.field(6).flatten().to_numpy().reshape(len(pivot), -1).view(np.uint64)
+                xs, ys = [], []
+                for a in np.flatnonzero(tile == i):
+                    b = np.flatnonzero((tile == j) & ((pivot > pivot[a]) | (i != j)))
+                    b = b[(100 * most[a] >= percent * least[b]) & (100 * most[b] >= percent * least[a])]
+                    apart = np.bitwise_count(sketch[b] ^ sketch[a]).sum(1, dtype=np.int64)
+                    b = b[(size[a] + size[b] - apart + 2 * (beyond[a] + beyond[b])) * (100 + percent) >= 2 * percent * (least[a] + least[b])]
+                    xs.append(np.minimum(pivot[b], pivot[a]))
+                    ys.append(np.maximum(pivot[b], pivot[a]))
+                xs, ys = (np.concatenate([np.empty(0, np.int64), *c]) for c in (xs, ys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), label)), pa.array(xs), pa.array(ys)], names=["label", "x", "y"])
+
+    return map_arrow(grouped, run, schema_of("label long, x long, y long"))
+
+
+def _members_alike(members: DataFrame, grid: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(label, x, y), x < y, of the members of open cells that the pivots' overlap doesn't settle and whose sketches leave room.
+
+    A pivot's members in open cells are packed by MEMBERS; packs of pivots with open cells meet, and only pairs that stay are told.
+    """
+    cell = ["pivot", "n", "beyond", "lost"]
+    cells = grid.select(*[F.col(f"a_{c}").alias(c) for c in cell]).union(grid.select(*[F.col(f"b_{c}").alias(c) for c in cell])).distinct()
+    opened = materialise(members.join(cells, cell, "left_semi").select("label", "id", *cell), "opened")
+    packs = opened.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("packs"))
+    dealt = opened.join(packs, "pivot").withColumn("pack", F.pmod(F.xxhash64("id"), F.col("packs")).cast("int"))
+    dealt = dealt.join(_only(sketches, opened.select("id")).select("id", "sketch"), "id")
+    packed = materialise(dealt.groupBy("label", "pivot", "pack").agg(F.collect_list(F.struct("id", "n", "beyond", "lost", "sketch")).alias("of")), "packs")
+    a, b = (packed.select("label", *[F.col(c).alias(f"{side}_{c}") for c in ("pivot", "pack", "of")]) for side in "ab")
+    met = grid.select("a_pivot", "b_pivot", "overlap").distinct().join(a, "a_pivot").join(b.drop("label"), "b_pivot")
+    met = met.where("a_pivot < b_pivot or a_pack <= b_pack").select("label", "overlap", ((F.col("a_pivot") == F.col("b_pivot")) & (F.col("a_pack") == F.col("b_pack"))).alias("same"), "a_of", "b_of")
+
+    def unpack(of):
+        return [of.field(c).to_numpy() for c in range(4)] + [of.field(4).flatten().to_numpy().reshape(len(of), -1).view(np.uint64)]
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                label, overlap, same = (batch.column(c)[r].as_py() for c in range(3))
+                x, x_n, x_beyond, x_lost, x_sketch = unpack(batch.column(3)[r].values)
+                y, y_n, y_beyond, y_lost, y_sketch = unpack(batch.column(4)[r].values)
+                xs, ys = [], []
+                for i in range(len(x)):
+                    need = percent * (x_n[i] + y_n)
+                    most = np.minimum(np.minimum(overlap + x_beyond[i] + y_beyond, x_n[i]), y_n)
+                    still = (most * (100 + percent) >= need) & ((overlap - x_lost[i] - y_lost) * (100 + percent) < need)
+                    j = np.flatnonzero(still & (y > x[i]) if same else still)
+                    apart = np.bitwise_count(y_sketch[j] ^ x_sketch[i]).sum(1, dtype=np.int64)
+                    j = j[(x_n[i] + y_n[j] - apart) * (100 + percent) >= 2 * need[j]]
+                    xs.append(np.minimum(y[j], x[i]))
+                    ys.append(np.maximum(y[j], x[i]))
+                xs, ys = (np.concatenate([np.empty(0, np.int64), *c]) for c in (xs, ys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), label)), pa.array(xs), pa.array(ys)], names=["label", "x", "y"])
+
+    return map_arrow(met, run, schema_of("label long, x long, y long"))
+
+
+def _verify_together(docs: DataFrame, pairs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
+    """`verify` for pairs (label, x, y) inside components: a component's ids are dealt to tiles of about TILE shingles, and a
+    text is sent once for each pair of tiles that asks for it, however many pairs it is in. A task holds the sets of two tiles.
+    """
+    pairs = materialise(pairs, "together")
+    ids = pairs.select("label", F.explode(F.array("x", "y")).alias("id")).distinct().join(shingles, "id")
+    tiles = ids.groupBy("label").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    cells = pairs.join(tiles, "label").select("label", *[F.pmod(F.xxhash64(c), F.col("tiles")).cast("int").alias(t) for c, t in (("x", "i"), ("y", "j"))], "x", "y")
+    asked = materialise(cells.select("label", "i", "j", F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "asked")
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    texts = as_bytes(docs).join(asked, "doc_id").select("label", "i", "j", F.col("doc_id").alias("x"), F.lit(None).cast("long").alias("y"), "text")
+    rows = texts.unionByName(cells.withColumn("text", F.lit(None).cast("binary")))
+
+    def run(batches):
+        cell, sets = None, {}
+        for b in batches:
+            out = []
+            texts = [t if t is not None else b"" for t in b.column(5).to_pylist()]
+            for label, i, j, x, y, s in zip(*(b.column(c).to_pylist() for c in range(5)), shingle_sets(texts, k)):
+                if cell != (label, i, j):
+                    cell, sets = (label, i, j), {}
+                if y is None:
+                    sets[x] = s
+                else:
+                    p, q = sets[x], sets[y]
+                    out.append((x, y, len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["x", "y", "x_n", "y_n", "overlap"])
+
+    return map_arrow(rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", F.asc_nulls_first("y"), "x"), run, schema_of("x long, y long, x_n long, y_n long, overlap long"))
+
+
 def _across(docs: DataFrame, left: DataFrame, verified: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (x, y) between different components, from the lists that hold more than one."""
     blocks = left.groupBy("token", "pivot", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("beyond").alias("beyond"), ((F.min("id") == F.col("pivot")) & (F.max("id") == F.col("pivot"))).alias("alone"))
-    blocks = materialise(blocks.join(sketches.select(F.col("id").alias("pivot"), F.col("n").alias("size"), "sketch"), "pivot"), "pivot-blocks")
-    parts = blocks.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = blocks.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("pivot"), F.col("parts")).cast("int"))
-    columns = ("pivot", "label", "least", "most", "pos", "beyond", "alone", "size", "sketch")
-    a, b = (dealt.select("token", "own", "parts", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-    a = a.withColumnRenamed("own", "part").drop("parts")
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("own", "parts")
-    apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(SKETCH // 64))
-    near = a.join(b, ["token", "part"]).where(
-        f"a_label < b_label and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least"
-        f" and least(a_most - a_pos, b_most - b_pos) * {100 + percent} >= {percent} * (a_least + b_least)"
-        f" and (a_size + b_size - ({apart}) + 2 * (a_beyond + b_beyond)) * {100 + percent} >= {2 * percent} * (a_least + b_least)"
+    # sketches are folded for the lists, cells that are FOLD apart put together: differences of folded ones are differences of whole ones
+    folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(word, SKETCH // 64, FOLD // 64))).alias(f"s{word}") for word in range(FOLD // 64)]
+    blocks = materialise(blocks.join(sketches.select(F.col("id").alias("pivot"), F.col("n").alias("size"), *folded), "pivot"), "pivot-blocks")
+    parts = materialise(blocks.groupBy("token").count().where(F.col("count") > MEMBERS).select("token", F.ceil(F.col("count") / MEMBERS).cast("int").alias("parts")), "long-lists")
+    if parts.count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    columns = ("pivot", "label", "least", "most", "pos", "beyond", "alone", "size", *[f"s{word}" for word in range(FOLD // 64)])
+    apart = " + ".join(f"bit_count(a.s{word} ^ b.s{word})" for word in range(FOLD // 64))
+    meet = F.expr(
+        f"a.label < b.label and 100 * a.most >= {percent} * b.least and 100 * b.most >= {percent} * a.least"
+        f" and least(a.most - a.pos, b.most - b.pos) * {100 + percent} >= {percent} * (a.least + b.least)"
+        f" and (a.size + b.size - ({apart}) + 2 * (a.beyond + b.beyond)) * {100 + percent} >= {2 * percent} * (a.least + b.least)"
     )
+    short = blocks.join(parts, "token", "left_anti")
+    dealt = blocks.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("pivot"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    told = ["a.token", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in columns[:7]]]
+    near = short.alias("a").join(short.alias("b"), (F.col("a.token") == F.col("b.token")) & meet).select(*told)
+    near = near.unionByName(dealt.alias("a").join(spread.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & meet).select(*told))
     pair = [F.col("a_pivot").alias("x"), F.col("b_pivot").alias("y"), (F.col("a_beyond") + F.col("b_beyond")).alias("beyond"), (F.col("a_least") + F.col("b_least")).alias("sizes"), (F.col("a_alone") & F.col("b_alone")).alias("alone")]
     near = materialise(near.select("token", *pair, *[F.col(f"b_{c}").alias(f"y_{c}") for c in ("least", "most", "pos", "beyond")]), "blocks")
-    asked = materialise(near.select("x", "y").distinct(), "asked-blocks")
+    # a pair's bound is that of its widest blocks, first by the whole sketches
+    asked = near.groupBy("x", "y").agg(F.max("beyond").alias("beyond"), F.min("sizes").alias("sizes"))
+    asked = materialise(_alike(asked, sketches, percent, "beyond", "sizes").select("x", "y"), "asked-blocks")
     known = _either_way(verified)
     new = verify(docs, asked.join(known, ["x", "y"], "left_anti"), k)
     answers = materialise(asked.join(known, ["x", "y"]).select("x", "y", "x_n", "y_n", "overlap").unionByName(new), "answers")
-    x, y = (left.select("token", F.col("pivot").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "beyond")]) for side in "xy")
     # blocks that hold their pivots alone are answered by them; of the others those stay whose bound is high enough
     open_blocks = near.where("not alone").join(answers.select("x", "y", "overlap"), ["x", "y"]).where(f"(overlap + beyond) * {100 + percent} >= {percent} * sizes")
-    open_blocks = open_blocks.select("token", "x", "y", "overlap", *[F.col(f"y_{c}").alias(f"of_{c}") for c in ("least", "most", "pos", "beyond")])
+    open_blocks = materialise(open_blocks.select("token", "x", "y", "overlap", *[F.col(f"y_{c}").alias(f"of_{c}") for c in ("least", "most", "pos", "beyond")]), "open-blocks")
+    opened = _only(left, open_blocks.select("token", F.explode(F.array("x", "y")).alias("pivot")))
+    x, y = (opened.select("token", F.col("pivot").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "pos", "beyond")]) for side in "xy")
     # each member of the first block against the bounds of the second, then the members that are left against each other
     fits = f"least(overlap + x_beyond + of_beyond, x_n - x_pos, of_most - of_pos) * {100 + percent} >= {percent} * (x_n + of_least) and 100 * x_n >= {percent} * of_least and 100 * of_most >= {percent} * x_n"
     pairs = open_blocks.join(x, ["token", "x"]).where(fits).join(y, ["token", "y"])
