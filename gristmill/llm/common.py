@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill import importable
+from gristmill import bounded_batches, importable
 
 _own: dict[str, str] = {}
 
@@ -44,22 +44,6 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bytes of a batch to Python: texts may be long, and a worker and the JVM hold a batch several times over.
-BATCH_BYTES = 1 << 20
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let batches to Python have about BATCH_BYTES at most.
-
-    Plans read this setting when they are made, after the operator has returned, so it stays; it is only ever lowered, and
-    changes no result.
-    """
-    own = spark.conf.get(_BYTES, None)
-    if not own or not own.isdigit() or int(own) > BATCH_BYTES:
-        spark.conf.set(_BYTES, str(BATCH_BYTES))
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """`df.mapInArrow` in bounded batches; when a task ends its worker, which later stages use again, gives free memory back."""
     bounded_batches(df.sparkSession)
