@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import normalize_text
-from gristmill.operators.retrieval import DENSE_WEIGHT, LEXICAL_WEIGHT, bm25, dense, fuse, md5_bucket, pool_hash, small, with_hashed_vectors
+from gristmill.operators.retrieval import DENSE_WEIGHT, LEXICAL_WEIGHT, SMALL, bm25, dense, fuse, md5_bucket, pool_hash, small, with_hashed_vectors
 
 BY = ("chunker",)
 #: The pool's size and the depth of both lists.
@@ -39,7 +39,8 @@ def candidates(found: tuple[DataFrame, DataFrame], queries: DataFrame, chunks: D
     """
     d, lexical = found
     fused = fuse([(d, DENSE_WEIGHT), (lexical, LEXICAL_WEIGHT)], pool, by=BY)
-    rows = fused.join(chunks.select(*BY, "chunk_id", "doc_id", "text", "token_count"), [*BY, "chunk_id"])
+    few = small(fused, queries, SMALL // (8 * pool))  # of some chunkers; they go out to the chunks
+    rows = chunks.select(*BY, "chunk_id", "doc_id", "text", "token_count").join(few, [*BY, "chunk_id"])
     rows = rows.join(small(queries.select("query_id", normalize_text("span").alias("span"))), "query_id")
     rows = rows.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left")
     grade = F.when((F.col("span") != "") & F.contains(normalize_text("text"), F.col("span")), 2).when(F.col("hit"), 1).otherwise(0)
