@@ -12,6 +12,7 @@ over; `strict` raises instead.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import batched, chain, pairwise
 
@@ -29,37 +30,76 @@ from gristmill.operators.chunking import CHUNK, cosine, fixed_windows, hashed_se
 TRIED = 4
 
 
-def longest_prefix(tokenizer: Tokenizer, ids: list[int], limit: int, strict: bool = False) -> tuple[str, int]:
-    """(text, ids used) of the longest run of ids from the start whose trimmed text encodes to `limit` ids at most.
-
-    Lengths are tried from the longest down, since a shorter prefix may well encode to more ids than a longer one.
-    """
+def _fitting(tokenizer: Tokenizer, ids: list[int], limit: int, strict: bool) -> tuple[str, int, int]:
+    """(text, ids used, ids of the text) of C3."""
     most = min(limit, len(ids))
     for lengths in chain(batched([most][:most], 1), batched(range(most - 1, 0, -1), TRIED)):
         texts = [t.strip() for t in tokenizer.decode([ids[:n] for n in lengths])]
-        fits = [n for n, t, own in zip(lengths, texts, tokenizer.encode(texts)) if t and len(own) <= limit]
+        fits = [(t, n, len(own)) for n, t, own in zip(lengths, texts, tokenizer.encode(texts)) if t and len(own) <= limit]
         if fits:
-            return texts[lengths.index(fits[0])], fits[0]
+            return fits[0]
     if strict and ids:
         raise ValueError("no text of these ids fits the limit")
-    return "", min(limit, len(ids))
+    return "", most, 0
 
 
-def limited_windows(tokenizer: Tokenizer, ids: list[int], size: int, overlap: int, strict: bool = False) -> Iterator[str]:
-    """C5 with a limit: each window is a longest prefix; the next one starts up to `overlap` ids before its end, and
-    always after its start."""
+def longest_prefix(tokenizer: Tokenizer, ids: list[int], limit: int, strict: bool = False) -> tuple[str, int]:
+    """(text, ids used) of the longest run of ids from the start whose trimmed text encodes to `limit` ids at most.
+
+    Lengths are tried from the longest down, since a shorter prefix may well encode to more ids than a longer one.
+    """
+    return _fitting(tokenizer, ids, limit, strict)[:2]
+
+
+def _fitting_at_ends(tokenizer: Tokenizer, ids: list[int], limit: int, cuts: list[int]) -> tuple[str, int, int] | None:
+    """The same for ids of a text that can be cut at `cuts`: what stands between the first and the last cut of a prefix
+    keeps its ids, so the pieces at its ends alone are decoded and encoded. None where that isn't so or nothing is found."""
+    head, i = "", 0
+    while not head and i < len(cuts):  # a start of white space alone is trimmed with the space of the next piece
+        head, i = tokenizer.decode([ids[: cuts[i]]])[0].lstrip() if cuts[i] else "", i + 1
+    if not head:
+        return None
+    first, before = cuts[i - 1], len(tokenizer.encode([head])[0])
+    for n in range(min(limit, len(ids)), first, -1):
+        last = cuts[bisect_left(cuts, n) - 1]  # the last cut before the end, so that a piece follows
+        tail = tokenizer.decode([ids[last:n]])[0].rstrip()
+        count = before + last - first + len(tokenizer.encode([tail])[0])
+        if count <= limit:
+            return head + tokenizer.decode([ids[first:last]])[0] + tail, n, count
+    return None
+
+
+def _windows(tokenizer: Tokenizer, ids: list[int], size: int, overlap: int, strict: bool = False, encoded: bool = False) -> Iterator[tuple[str, int]]:
+    """(text, its ids) of C5's windows; `encoded` says that the ids are those of a text."""
+    known = tokenizer.starts() if encoded and hasattr(tokenizer, "starts") else ()
+    cuts = [i for i, x in enumerate(ids) if x in known] if known else []
     start = 0
     while start < len(ids):
-        text, used = longest_prefix(tokenizer, ids[start : start + size], size, strict)
-        yield text
+        part, found = ids[start : start + size], None
+        if cuts:
+            inside = [c - start for c in cuts[bisect_left(cuts, start) : bisect_left(cuts, start + size)]]
+            found = _fitting_at_ends(tokenizer, part, size, inside)
+        text, used, count = found or _fitting(tokenizer, part, size, strict)
+        yield text, count
         if start + used == len(ids):
             return
         start += max(1, used - overlap)
 
 
+def limited_windows(tokenizer: Tokenizer, ids: list[int], size: int, overlap: int, strict: bool = False) -> Iterator[str]:
+    """C5 with a limit: each window is a longest prefix; the next one starts up to `overlap` ids before its end, and
+    always after its start."""
+    return (text for text, _ in _windows(tokenizer, ids, size, overlap, strict))
+
+
+def windows_of(tokenizer: Tokenizer, text: str, size: int, overlap: int, strict: bool = False) -> Iterator[tuple[str, int]]:
+    """C5 with a limit: (text, its ids) of the windows of a text."""
+    return _windows(tokenizer, tokenizer.encode([text])[0], size, overlap, strict, True)
+
+
 def limited_pieces(tokenizer: Tokenizer, text: str, size: int, strict: bool = False) -> Iterator[str]:
     """C4: windows without an overlap."""
-    return limited_windows(tokenizer, tokenizer.encode([text])[0], size, 0, strict)
+    return (t for t, _ in windows_of(tokenizer, text, size, 0, strict))
 
 
 def count_tables(tokenizer: Tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +165,15 @@ def _chunks(pieces: DataFrame, name: str, tokenizer: Tokenizer) -> DataFrame:
 
 
 def _by_document(docs: DataFrame, prepared: Column, cut: Callable, name: str, tokenizer: Tokenizer) -> DataFrame:
-    """Chunks that `cut` makes of `prepared`, a text or an array of each document."""
+    """Chunks that `cut` makes of `prepared`, a text or an array of each document: (text, number of its ids, or None where it isn't known)."""
     importable(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), prepared.alias("x")).where("x is not null")
 
     def run(batches):
         for b in batches:
-            rows = [(d, i, t.strip()) for d, x in zip(b["doc_id"], b["x"]) for i, t in enumerate(cut(x)) if t.strip()]
-            counts = list(map(len, tokenizer.encode([t for _, _, t in rows])))
-            yield pd.DataFrame([(f"{name}::{d}::{i}", d, i, t, n) for (d, i, t), n in zip(rows, counts)], columns=["chunk_id", "doc_id", "chunk_index", "text", "token_count"])
+            rows = [(d, i, t.strip(), n) for d, x in zip(b["doc_id"], b["x"]) for i, (t, n) in enumerate(cut(x)) if t.strip()]
+            counts = iter(map(len, tokenizer.encode([t for _, _, t, n in rows if n is None])))
+            yield pd.DataFrame([(f"{name}::{d}::{i}", d, i, t, next(counts) if n is None else n) for d, i, t, n in rows], columns=["chunk_id", "doc_id", "chunk_index", "text", "token_count"])
 
     return own.mapInPandas(run, CHUNK)
 
@@ -142,7 +182,7 @@ def fixed_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame
     size, overlap, strict = spec["size"], spec.get("overlap", 0), spec.get("strict", False)
     if spec.get("limit"):
         def cut(text):
-            return limited_windows(tokenizer, tokenizer.encode([text])[0], size, overlap, strict)
+            return windows_of(tokenizer, text, size, overlap, strict)
 
         return _by_document(docs, F.col("text"), cut, spec["name"], tokenizer)
     importable(docs.sparkSession)
@@ -164,19 +204,19 @@ def recursive_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataF
             return known[t]
 
         for piece in recursive_split(text, size, overlap, length=length):
-            yield from limited_pieces(tokenizer, piece, size, spec.get("strict", False)) if spec.get("limit") else [piece]
+            yield from windows_of(tokenizer, piece, size, 0, spec.get("strict", False)) if spec.get("limit") else [(piece, None)]
 
     return _by_document(docs, F.col("text"), cut, spec["name"], tokenizer)
 
 
 def sentence_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame:
-    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: packed(tokenizer, list(s), spec["size"], spec.get("strict", False)), spec["name"], tokenizer)
+    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: ((t, None) for t in packed(tokenizer, list(s), spec["size"], spec.get("strict", False))), spec["name"], tokenizer)
 
 
 def semantic_chunks(docs: DataFrame, spec: dict, tokenizer: Tokenizer) -> DataFrame:
     encode, similarity = spec.get("encode", hashed_sentence_vector), spec.get("similarity", cosine)
     least = spec.get("least") or max(32, spec["size"] // 2)
-    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: broken(tokenizer, list(s), spec["size"], spec["threshold"], least, encode, similarity), spec["name"], tokenizer)
+    return _by_document(docs, spec.get("split", rule_sentences)("text"), lambda s: ((t, None) for t in broken(tokenizer, list(s), spec["size"], spec["threshold"], least, encode, similarity)), spec["name"], tokenizer)
 
 
 def sentence_counts(docs: DataFrame, tokenizer: Tokenizer, split: Callable = rule_sentences) -> DataFrame:
