@@ -14,15 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill import importable
+from gristmill.sources import turns
+
 SHA256, COMMIT = "^[0-9a-f]{64}$", "^[0-9a-f]{40}$"
 # Fields that a public table must not have.
 PRIVATE = ("question_id", "question", "reference_answers", "relevant_document_ids", "text", "context", "packed_context", "raw_output", "normalized_output", "top_k", "candidate_ranking")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of all files below `path`; contents are hashed on the executors."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of all files below `path`; contents are hashed on the executors.
+
+    Files above `turns.TURN` bytes are hashed in turns, before this returns. Those whose names Spark's reader of lines takes
+    for packed ones are hashed as one value, as the small ones are, and so are all where OpenSSL's library is missing; that
+    holds up to 2 GB, where Spark refuses a value.
+    """
+    importable(spark)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    found = read.format("binaryFile").load(path)
+    hashes = ["path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")]
+    large = found.where(turns.cut(turns.TURN)).select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("bytes"))
+    if not turns.possible() or large.isEmpty():
+        return found.select(*hashes)
+    lines = read.option("lineSep", "\n").text(path).where(turns.cut(turns.TURN))
+    lines = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"))
+    return found.where(~turns.cut(turns.TURN)).select(*hashes).unionByName(turns.hashed(large, lines, turns.TURN))
 
 
 def tree_hash(inventory: DataFrame) -> DataFrame:
