@@ -45,17 +45,28 @@ def mixed(k1: Column, k2: Column, draw: Column) -> Column:
 
 def mixed_array(k1: np.ndarray, k2: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """uint32 of every unit (rows) and draw (columns)."""
+    return mixed_block(k1.astype(np.uint32)[:, None], k2.astype(np.uint32)[:, None], draws.astype(np.uint32)[None, :] * np.uint32(STEP))
 
-    def mix(x: np.ndarray) -> np.ndarray:
-        x ^= x >> np.uint32(16)
+
+def mixed_block(k1: np.ndarray, k2: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """`mixed_array` of columns of keys and a row of draws times STEP, all uint32."""
+    x = k1 + steps
+    held = np.empty_like(x)
+
+    def shifted(by: int) -> None:
+        np.right_shift(x, np.uint32(by), out=held)
+        np.bitwise_xor(x, held, out=x)
+
+    shifted(16)
+    for again in (True, False):
         x *= np.uint32(MIX_1)
-        x ^= x >> np.uint32(13)
+        shifted(13)
         x *= np.uint32(MIX_2)
-        x ^= x >> np.uint32(16)
-        return x
-
-    x = mix(k1.astype(np.uint32)[:, None] + draws.astype(np.uint32)[None, :] * np.uint32(STEP))
-    return mix(x ^ k2.astype(np.uint32)[:, None])
+        if again:  # the shifts by 16 on both sides of the second key leave it with its own
+            x ^= k2 ^ k2 >> np.uint32(16)
+        else:
+            shifted(16)
+    return x
 
 
 def families(rows: DataFrame, value: str, family: str, domain: str | None = None) -> DataFrame:
@@ -64,9 +75,10 @@ def families(rows: DataFrame, value: str, family: str, domain: str | None = None
     return rows.groupBy(*by).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-#: Units and draws of a block of random numbers, and families whose sums go to every task.
+#: Units and draws of a block of random numbers.
 UNITS, DRAWS = 512, 2048
-HELD = 500_000
+#: Of the bootstrap: numbers of a block, families of a row that goes to the tasks and of a task at once, and tasks a core.
+BLOCK, CHUNK, HELD, WAVES = 1 << 16, 8192, 1 << 23, 2
 
 
 def _summed(parts: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,63 +122,101 @@ def sign_flip_p(rows: DataFrame, value: str, family: str, draws: int, seed: int)
 
 
 def numbered(f: DataFrame, family: str, domain: str) -> DataFrame:
-    """(domain, i, s, n, size): families of a domain numbered by the md5 of their name.
+    """(domain, i, s, n, size, start, total): families of a domain numbered by the md5 of their name, null last.
 
     They are numbered within a bucket, the first digits of the md5, and moved by the families in the buckets before it,
-    so that no task holds a whole domain.
+    so that no task holds a whole domain. `start` is the number of families of the domains before it, `total` that of all.
     """
-    h = F.md5(F.coalesce(F.col(family).cast("string"), F.lit("null")))
-    b = f.select(F.col(domain).alias("domain"), F.col(family).alias("family"), h.alias("h"), F.substring(h, 1, 3).alias("bucket"), "s", "n")
-    counts = b.groupBy("domain", "bucket").agg(F.count("*").alias("own"))
-    up_to = W.partitionBy("domain").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("domain", "bucket", F.coalesce(F.sum("own").over(up_to), F.lit(0)).alias("before"), F.sum("own").over(W.partitionBy("domain")).alias("size"))
+    h = F.md5(F.col(family).cast("string"))
+    b = f.select(F.col(domain).alias("domain"), F.col(family).alias("family"), F.unhex(h).alias("h"), F.coalesce(F.substring(h, 1, 3), F.lit("null")).alias("bucket"), "s", "n")
+    # no use of the sums leaves a column out, so that both read one shuffle
+    counts = b.groupBy("domain", "bucket").agg(F.count("*").alias("own"), F.count("s").alias("valued"), F.sum("n").alias("docs")).where("valued >= 0 and docs > 0")
+    line, own = W.partitionBy(F.lit(1)), W.partitionBy("domain")  # a row for each bucket
+    counts = counts.withColumns({"ahead": F.coalesce(F.sum("own").over(line.orderBy("domain", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("own").over(line)})
+    counts = counts.select("domain", "bucket", "ahead", "total", F.min("ahead").over(own).alias("start"), F.sum("own").over(own).alias("size"))
     place = F.row_number().over(W.partitionBy("domain", "bucket").orderBy("h", "family")) - 1
-    return b.withColumn("place", place).join(counts, ["domain", "bucket"]).select("domain", (F.col("before") + F.col("place")).cast("long").alias("i"), "s", "n", "size")
+    return b.withColumn("place", place).join(counts, ["domain", "bucket"]).select("domain", (F.col("ahead") - F.col("start") + F.col("place")).cast("long").alias("i"), "s", "n", "size", "start", "total")
 
 
 def bootstrap(rows: DataFrame, value: str, family: str, domain: str, draws: int, seed: int) -> DataFrame:
     """(draw, mean): families are drawn with replacement within their domain; the mean is over the documents drawn.
 
-    Slot i of a domain draws family number `mixed` modulo the domain's families.  Up to HELD families their sums go to the
-    tasks, which draw for ranges of slots in blocks; beyond, every slot and draw is a row that is joined with its family.
+    Slot i of a domain draws family number `mixed` modulo the domain's families. The draws of all domains, each as long as
+    the domain has families, stand in one line that is cut into equal parts, one for each task. A task gets the sums of the
+    domains that its part touches, HELD families at once, and sends two sums and a count for each draw.
     """
-    f = numbered(families(rows, value, family, domain).where(F.col(domain).isNotNull()), family, domain)
-    if f.limit(HELD + 1).count() > HELD:
-        return _drawn_by_join(f, draws, seed)
     spark = rows.sparkSession
     importable(spark)
-    tasks = spark.sparkContext.defaultParallelism
-    held = f.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("i", "s", "n"))).alias("x"), F.max("size").alias("size"))
-    held = held.select("domain", "size", F.transform("x", lambda x: x["s"].cast("double")).alias("s"), F.transform("x", lambda x: x["n"].cast("double")).alias("n"))
-    step = F.greatest(F.lit(UNITS).cast("long"), F.ceil(F.col("size") / tasks))
-    ranges = held.select(F.col("domain"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)).alias("from"), step.alias("step")).repartition(4 * tasks, "domain", "from")
-    work = ranges.join(F.broadcast(held), "domain").select(F.col("domain").cast("string").alias("domain"), "from", F.least(F.col("from") + F.col("step"), "size").alias("to"), "size", "s", "n")
+    tasks = WAVES * spark.sparkContext.defaultParallelism
+    f = numbered(families(rows, value, family, domain).where(F.col(domain).isNotNull()), family, domain)
+    chunks = f.groupBy("domain", "start", "size", "total", F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("i", "s", "n"))).alias("x"))
+    part = lambda draw: F.call_function("div", (F.col("start") * draws + F.col("size") * draw) * tasks, F.col("total") * draws).cast("int")
+    numbers = [F.transform(f"x.{c}", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias(c) for c in ("s", "n")]
+    valued = F.transform("x.s", lambda v: v.isNotNull()).alias("valued")
+    sent = chunks.select(F.col("domain").cast("string").alias("domain"), "start", "size", "total", "chunk", *numbers, valued, F.explode(F.sequence(part(0), part(draws - 1))).alias("part"))
+    sent = sent.repartitionById(tasks, F.col("part")).sortWithinPartitions("start", "chunk")
+    chunk, held, block = CHUNK, max(1, HELD // CHUNK), BLOCK
 
     def run(batches):
+        sums = np.zeros((3, draws))
+        unit, work = None, None
         for b in batches:
             for r in b.itertuples(index=False):
-                slots = [hashlib.md5(f"{seed}|{r.domain}:{i}".encode()).hexdigest() for i in range(int(r[1]), int(r.to))]
-                k1, k2 = (np.array([int(h[a : a + 8], 16) for h in slots], np.uint32) for a in (0, 8))
-                s, n, size = np.asarray(r.s), np.asarray(r.n), np.uint32(r.size)
-                for d in range(0, draws, DRAWS):
-                    numbers = np.arange(d, min(d + DRAWS, draws))
-                    sums, counts = np.zeros(len(numbers)), np.zeros(len(numbers))
-                    for u in range(0, len(slots), 64):
-                        at = mixed_array(k1[u : u + 64], k2[u : u + 64], numbers) % size
-                        sums += s[at].sum(0)
-                        counts += n[at].sum(0)
-                    yield pd.DataFrame([(d, sums, counts)], columns=["first", "s", "n"])
-
-    drawn = work.mapInPandas(run, "first long, s array<double>, n array<double>")
-    return _summed(drawn, ["s", "n"]).select("draw", (F.col("s") / F.col("n")).alias("mean"))
-
-
-def _drawn_by_join(f: DataFrame, draws: int, seed: int) -> DataFrame:
-    numbers = f.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    k1, k2 = keys(seed, F.concat_ws(":", F.col("domain").cast("string"), F.col("i").cast("string")))
-    slots = f.select("domain", "size", k1.alias("k1"), k2.alias("k2")).repartition(f.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(numbers))
-    drawn = slots.select("draw", "domain", (mixed(F.col("k1"), F.col("k2"), F.col("draw")) % F.col("size")).alias("i"))
-    return drawn.join(f.select("domain", "i", "s", "n"), ["domain", "i"]).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+                start, size, total, at = int(r.start), int(r.size), int(r.total), int(r.chunk) // held * held * chunk
+                if unit != (start, at):
+                    if unit:
+                        drawn(sums, *work, seed, held * chunk, block)
+                    unit = start, at
+                    own = np.zeros((3, min(held * chunk, size - at)))
+                    reach = (-(-(-(-p * total * draws // tasks) - start * draws) // size) for p in (int(r.part), int(r.part) + 1))  # as `part` has it
+                    work = r.domain, size, at, own, range(*(min(max(x, 0), draws) for x in reach))
+                place = int(r.chunk) * chunk - at
+                own[:, place : place + len(r.s)] = r.s, r.n, r.valued
+        if unit:
+            drawn(sums, *work, seed, held * chunk, block)
+            yield pd.DataFrame([(d, *sums[:, d : d + DRAWS]) for d in range(0, draws, DRAWS)], columns=["first", "s", "n", "valued"])
+
+    sums = sent.mapInPandas(run, "first long, s array<double>, n array<double>, valued array<double>")
+    return _summed(sums, ["s", "n", "valued"]).select("draw", F.when(F.col("valued") > 0, F.col("s") / F.col("n")).alias("mean"))
+
+
+def drawn(sums: np.ndarray, domain: str, size: int, at: int, own: np.ndarray, reach: range, seed: int, held: int, block: int) -> None:
+    """Add to `sums`, a row for each row of `own`, what the draws of `reach` find: `own` are the families from number `at` on.
+
+    How often a draw has a family is counted in a table of bytes, small enough for the caches; a draw that has one more
+    often than a byte holds is counted anew.
+    """
+    width = own.shape[1]
+    odd = np.flatnonzero(~np.isfinite(own).all(0))  # these only count where they are drawn
+    strange = own[:, odd]
+    own[:, odd] = 0
+    for first in range(0, size, held):
+        slots = range(first, min(first + held, size))
+        k = np.frombuffer(b"".join(hashlib.md5(f"{seed}|{domain}:{i}".encode()).digest()[:8] for i in slots), ">u4").astype(np.uint32).reshape(-1, 2)
+        k1, k2 = k.T.copy()[:, None]
+        step = max(1, block // max(len(slots), width))
+        for d in range(reach.start, reach.stop, step):
+            steps = (np.arange(d, min(d + step, reach.stop)).astype(np.uint32) * np.uint32(STEP))[:, None]
+            for kind in (np.uint8, np.uint32):
+                counts = np.zeros((len(steps), width), kind)
+                n = 0
+                for u in range(0, len(slots), block):
+                    x = mixed_block(k1[:, u : u + block], k2[:, u : u + block], steps)
+                    x -= x // np.uint32(size) * np.uint32(size)  # faster than %
+                    x -= np.uint32(at)
+                    place = x + np.arange(len(steps))[:, None] * width
+                    if width < size:
+                        place = place[x < width]
+                    np.add.at(counts.reshape(-1), place.reshape(-1), kind(1))
+                    n += place.size
+                if counts.sum(dtype=np.int64) == n:
+                    break
+            for u in range(0, width, block):
+                sums[:, d : d + len(steps)] += own[:, u : u + block] @ counts[:, u : u + block].T.astype(np.float64)
+            if len(odd):
+                c = counts[:, odd].T
+                with np.errstate(invalid="ignore"):
+                    sums[:, d : d + len(steps)] += np.where(c > 0, strange[:, :, None] * c, 0).sum(1)
 
 
 #: Ranges that a group's values are dealt to; a task holds the distinct values of one.

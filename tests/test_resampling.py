@@ -99,3 +99,46 @@ def test_bootstrap(frame, rows, monkeypatch):
         assert sorted(got) == list(range(draws)) and all(abs(got[d] - want[d]) < 1e-9 for d in got)
     low, high = stats.interval(stats.bootstrap(frame, "v", "family", "domain", draws, SEED)).first()
     assert abs(low - np.percentile(want, 2.5)) < 1e-9 and abs(high - np.percentile(want, 97.5)) < 1e-9
+
+
+def plain_means(rows, draws):
+    """As the SQL has it: a family without a value has no sum but its documents count; null families are numbered last."""
+    cells = {}
+    for f, d, v in rows:
+        s, n = cells.setdefault(d, {}).get(f, (None, 0))
+        cells[d][f] = ((s or 0) + v if v is not None else s, n + 1)
+    cells.pop(None, None)
+    order = {d: [c[f] for f in sorted(c, key=lambda f: (f is None, hashlib.md5(str(f).encode()).hexdigest()))] for d, c in cells.items()}
+    for draw in range(draws):
+        took = [own[plain_mixed(*plain_keys(f"{d}:{i}"), draw) % len(own)] for d, own in order.items() for i in range(len(own))]
+        sums = [s for s, _ in took if s is not None]
+        yield sum(sums) / sum(n for _, n in took) if sums else None
+
+
+@pytest.mark.parametrize("odd", ["", "nulls", "infinite"])
+def test_bootstrap_holds_a_part_of_a_domain_at_once(spark, rows, monkeypatch, odd):
+    mine = list(rows)
+    if odd == "nulls":
+        mine += [(None, "a", 0.5), ("f1", None, 3.0), ("only", "b", None), ("f2", "b", None), ("lone", "z", None)]
+    if odd == "infinite":
+        mine = [("x", "a", float("inf")), ("y", "a", 0.25), ("z", "a", None)]
+    want = list(plain_means(mine, 700))
+    frame = spark.createDataFrame(mine, "family string, domain string, v double").repartition(3)
+    monkeypatch.setattr(stats, "CHUNK", 4)
+    monkeypatch.setattr(stats, "BLOCK", 64)
+    for held in (1 << 20, 8):
+        monkeypatch.setattr(stats, "HELD", held)
+        df = stats.bootstrap(frame, "v", "family", "domain", 700, SEED)
+        got = {r.draw: r.mean for r in df.collect()}
+        assert sorted(got) == list(range(700))
+        assert all(got[d] == x or abs(got[d] - x) < 1e-9 for d, x in enumerate(want))
+    assert odd != "infinite" or None in want and len(set(want)) > 4
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]  # no row for a draw of a family
+
+
+def test_a_family_is_drawn_more_often_than_a_byte_holds(monkeypatch):
+    monkeypatch.setattr(stats, "mixed_block", lambda k1, k2, steps: np.zeros(np.broadcast_shapes(k1.shape, steps.shape), np.uint32))
+    sums = np.zeros((3, 10))
+    own = np.array([[0.5, *[9.0] * 299], [2.0, *[9.0] * 299], [1.0] * 300])
+    stats.drawn(sums, "d", 300, 0, own, range(2, 9), SEED, 1 << 20, 64)
+    assert sums[:, 2:9].tolist() == [[150.0] * 7, [600.0] * 7, [300.0] * 7] and not sums[:, [0, 1, 9]].any()
